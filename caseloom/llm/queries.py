@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, secrets, sharding
+from . import decontamination, exact_dedup, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_prefix_shards": sharding.op3_byte_prefix_shards,
         "op4_trigram_secret_scan": secrets.op4_trigram_secret_scan,
+        "op5_automaton_decontamination": decontamination.op5_automaton_decontamination,
+        "op6_ngram_toxicity": toxicity.op6_ngram_toxicity,
+        "op7_byte_convolution_quality": quality.op7_byte_convolution_quality,
         "op10_chunk_recipes": exact_dedup.op10_chunk_recipes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_trigram_secret_scan": secrets.OP4_SQL, "op10_chunk_recipes": exact_dedup.OP10_SQL}
+    return {"op4_trigram_secret_scan": secrets.OP4_SQL, "op5_automaton_decontamination": decontamination.OP5_SQL, "op10_chunk_recipes": exact_dedup.OP10_SQL}
