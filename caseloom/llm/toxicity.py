@@ -14,7 +14,7 @@ from .base import _LOWER, blocks, id_crc, load, small_batches, texts_of
 from .learning import adam, labelled_sample, sigmoid
 
 #: Lengths of n-grams in bytes of lower-cased (A-Z) UTF-8; hash bits; n-grams that get a weight.
-LENGTHS, BITS, FEATURES = (4, 6, 8), 22, 1 << 16
+LENGTHS, BITS, FEATURES = (4, 6, 8), 22, 1 << 11
 #: Labelled rows of each class to learn from, at most.
 SAMPLE = 2500
 _U = np.uint64
