@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, quality, secrets, sharding, toxicity
+from . import decontamination, exact_dedup, near_dedup, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_multi_index_minhash": near_dedup.op2_multi_index_minhash,
         "op3_byte_prefix_shards": sharding.op3_byte_prefix_shards,
         "op4_trigram_secret_scan": secrets.op4_trigram_secret_scan,
         "op5_automaton_decontamination": decontamination.op5_automaton_decontamination,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_trigram_secret_scan": secrets.OP4_SQL, "op5_automaton_decontamination": decontamination.OP5_SQL, "op10_chunk_recipes": exact_dedup.OP10_SQL}
+    return {"op2_multi_index_minhash": near_dedup.OP2_SQL, "op4_trigram_secret_scan": secrets.OP4_SQL, "op5_automaton_decontamination": decontamination.OP5_SQL, "op10_chunk_recipes": exact_dedup.OP10_SQL}
