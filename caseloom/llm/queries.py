@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, near_dedup, quality, secrets, sharding, toxicity
+from . import decontamination, exact_dedup, near_dedup, packing, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_automaton_decontamination": decontamination.op5_automaton_decontamination,
         "op6_ngram_toxicity": toxicity.op6_ngram_toxicity,
         "op7_byte_convolution_quality": quality.op7_byte_convolution_quality,
+        "op9_hilbert_packing": packing.op9_hilbert_packing,
         "op10_chunk_recipes": exact_dedup.op10_chunk_recipes,
     }
 
