@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, near_dedup, packing, quality, secrets, sharding, toxicity, warc
+from . import context_tree, decontamination, exact_dedup, near_dedup, packing, quality, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_context_tree_weighting": context_tree.op1_context_tree_weighting,
         "op2_multi_index_minhash": near_dedup.op2_multi_index_minhash,
         "op3_byte_prefix_shards": sharding.op3_byte_prefix_shards,
         "op4_trigram_secret_scan": secrets.op4_trigram_secret_scan,
