@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .base import id_crc, load, mixed, scratch, small_batches, text_or_empty, word_hashes, words
 
 #: Bytes of the longest context.
-DEPTH = 4
+DEPTH = 6
 #: Bytes of texts in a block, about (a longer text is a block of its own); distinct keys of a bucket, about.
 BLOCK, BUCKET_KEYS = 12 << 20, 1 << 20
 #: What ends a word and a text, as tokens of the model.
@@ -45,9 +45,20 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
 
 
+_HALVES, _WHOLES = log_gamma(np.arange(1 << 14) + 0.5), log_gamma(np.arange(1 << 14) + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log probability of so many zeros and ones under the Krichevsky-Trofimov estimate."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    """Log probability of so many zeros and ones (whole numbers) under the Krichevsky-Trofimov estimate."""
+
+    def at(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+        n = n.astype(np.int64)
+        out = table[np.minimum(n, len(table) - 1)]
+        large = n >= len(table)
+        out[large] = log_gamma(n[large] + more)
+        return out
+
+    return at(zeros, _HALVES, 0.5) + at(ones, _HALVES, 0.5) - at(zeros + ones, _WHOLES, 1.0) - np.log(np.pi)
 
 
 def canonical(text: bytes) -> bytes:
@@ -76,15 +87,17 @@ def gram_keys(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return key
 
 
-def counted(keys: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the number of those of weight 1."""
-    if weights is not None and not weights.all():
-        training = np.unique(keys[weights], return_counts=True)
-        every = np.unique(keys)
-        n = np.zeros(len(every), np.int64)
-        n[np.searchsorted(every, training[0])] = training[1]
-        return every, n
-    return np.unique(keys, return_counts=True)
+def word_keys(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    return word_hashes(data, starts, stops) >> _U(1)
+
+
+def counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (of 63 bits) with the number of those in training."""
+    keys = np.sort((keys << _U(1)) | training)
+    own = keys >> _U(1)
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    before = np.concatenate(([0], np.cumsum(keys & _U(1), dtype=np.int64)))
+    return own[first], before[np.append(first[1:], len(own))] - before[first] if len(own) else np.zeros(0, np.int64)
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +121,7 @@ def block_counts(data: np.ndarray, ends: np.ndarray, training: np.ndarray) -> di
         inside = np.repeat(training[i : i + step], np.diff(own))
         grams.append(counted(gram_keys(part, own), inside))
         starts, stops, first = words(part, own)
-        tokens.append(counted(word_hashes(part, starts, stops), np.repeat(training[i : i + step], np.diff(first))))
+        tokens.append(counted(word_keys(part, starts, stops), np.repeat(training[i : i + step], np.diff(first))))
     tokens.append((np.array([END_KEY]), np.array([int(training.sum())])))
     return {GRAMS: summed(grams), WORDS: summed(tokens)}
 
@@ -149,51 +162,67 @@ def unpacked_keys(raw: bytes) -> np.ndarray:
 
 
 class Subtrees:
-    """The nodes of depth 2 and more over the grams of a bucket, with their counts n in training texts."""
+    """The nodes of depth 2 and more over the grams of a bucket, with their counts n in training texts.
+
+    For each of the eight bits the grams are sorted by the bits before it and then by context, nearest byte first: the
+    grams of a node stand together at every depth.
+    """
 
     def __init__(self, grams: np.ndarray, n: np.ndarray):
-        self.levels = []
+        self.grams, self.n = grams, n
+        self.context = np.zeros(len(grams), np.uint64)
+        for d in range(1, DEPTH + 1):
+            self.context = (self.context << _U(8)) | ((grams >> _U(8 * d)) & _U(0xFF))
+
+    def levels(self) -> Iterator[tuple]:
+        """For each bit: it, order of the grams, whether theirs is one, nodes by depth (deepest first: number by gram,
+        ones, count, weight), and the first gram and log mixture of the depth-2 nodes."""
         for bit in range(8):
-            one = ((grams >> _U(7 - bit)) & _U(1)).astype(np.int64)
-            prefix = (grams & _U(0xFF)) >> _U(8 - bit)
-            nodes, below = {}, None
+            prefix = (self.grams & _U(0xFF)) >> _U(8 - bit)
+            key = (prefix << _U(8 * DEPTH)) | self.context
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], self.n[order]
+            one = ((self.grams[order] >> _U(7 - bit)) & _U(1)).astype(np.int64)
+            mine, nodes, below = n * one, [], None
             for depth in range(DEPTH, 1, -1):
-                context = (grams >> _U(8)) & _U((1 << 8 * depth) - 1)
-                _, first, at = np.unique((context << _U(8)) | prefix, return_index=True, return_inverse=True)
-                ones = np.bincount(at, n * one, len(first))
-                total = np.bincount(at, n, len(first))
+                own = key >> _U(8 * (DEPTH - depth))
+                new = np.concatenate(([True], own[1:] != own[:-1]))
+                first, at = np.flatnonzero(new), np.cumsum(new) - 1
+                ones, total = np.add.reduceat(mine, first), np.add.reduceat(n, first)
                 kt = log_kt(total - ones, ones)
                 if below is None:
                     mixture, weight = kt, np.ones(len(first))
                 else:
-                    lower = np.bincount(at[below[1]], below[0], len(first))
+                    lower = np.bincount(at[below[0]], below[1], len(first))
                     mixture = np.logaddexp(kt, lower) - np.log(2)
                     weight = np.exp(kt - np.log(2) - mixture)
-                nodes[depth] = (at, ones, total, weight)
-                below = (mixture, first)
-            self.levels.append((one, nodes, ((grams[below[1]] >> _U(8)) & _U(0xFF)).astype(np.int64), prefix[below[1]].astype(np.int64), nodes[2][1], nodes[2][2], below[0]))
+                nodes.append((at, ones, total, weight))
+                below = (first, mixture)
+            yield bit, order, one, nodes, below
 
     def summary(self) -> np.ndarray:
         """By last context byte and place of the bit (1, then its leading bits): ones, count and log mixture of the depth-2 nodes, added up."""
         out = np.zeros((256, 256, 3))
-        for bit, (_, _, byte, prefix, ones, total, mixture) in enumerate(self.levels):
-            for k, v in enumerate((ones, total, mixture)):
-                np.add.at(out[:, :, k], (byte, (1 << bit) + prefix), v)
+        for bit, order, _, nodes, (first, mixture) in self.levels():
+            grams = self.grams[order[first]]
+            byte, prefix = (grams >> _U(8)) & _U(0xFF), (grams & _U(0xFF)) >> _U(8 - bit)
+            place = (byte.astype(np.int64) << 8) + (1 << bit) + prefix.astype(np.int64)
+            for k, v in enumerate((nodes[-1][1], nodes[-1][2], mixture)):
+                out[:, :, k] += np.bincount(place, v, 1 << 16).reshape(256, 256)
         return out
 
-    def log_probabilities(self, grams: np.ndarray, top: Top) -> np.ndarray:
+    def log_probabilities(self, top: Top) -> np.ndarray:
         """log10 probability of each gram's last byte after the bytes before it."""
-        out = np.zeros(len(grams))
-        byte, value = ((grams >> _U(8)) & _U(0xFF)).astype(np.int64), (grams & _U(0xFF)).astype(np.int64)
-        for bit, (one, nodes, *_) in enumerate(self.levels):
+        out = np.zeros(len(self.grams))
+        byte, value = ((self.grams >> _U(8)) & _U(0xFF)).astype(np.int64), (self.grams & _U(0xFF)).astype(np.int64)
+        for bit, order, one, nodes, _ in self.levels():
             chance = None
-            for depth in range(DEPTH, 1, -1):
-                at, ones, total, weight = (v if k == 0 else v[nodes[depth][0]] for k, v in enumerate(nodes[depth]))
-                chance = mix(chance, one, ones, total, weight)
-            place = (1 << bit) + (value >> (8 - bit))
-            chance = mix(chance, one, top.ones1[byte, place], top.total1[byte, place], top.weight1[byte, place])
+            for at, ones, total, weight in nodes:
+                chance = mix(chance, one, ones[at], total[at], weight[at])
+            b, place = byte[order], (1 << bit) + (value[order] >> (8 - bit))
+            chance = mix(chance, one, top.ones1[b, place], top.total1[b, place], top.weight1[b, place])
             chance = mix(chance, one, top.ones0[place], top.total0[place], top.weight0[place])
-            out += np.log10(np.where(chance > 0, chance, 0.5))
+            out[order] += np.log10(np.where(chance > 0, chance, 0.5))
         return out
 
 
@@ -315,8 +344,7 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
             value = n
         else:
             value = np.zeros(len(keys), np.float32)
-            tree = Subtrees(keys, n)
-            value[:] = tree.log_probabilities(keys, top.value)
+            value[:] = Subtrees(keys, n).log_probabilities(top.value)
         out = [packed(value[np.searchsorted(keys, unpacked_keys(a))]) for a in table["a"].to_pylist()]
         return pa.table([table["part"], table["block"], table["kind"], table["bucket"], pa.array(out, pa.binary())], names=["part", "block", "kind", "bucket", "v"])
 
@@ -347,7 +375,7 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
             total[i : i + step] = np.add.reduceat(value[find(gram_keys(part, cuts))].astype(np.float64), cuts[:-1])
             starts, stops, first = words(part, cuts)
             find, value = looked[WORDS]
-            count = value[find(word_hashes(part, starts, stops))] if len(starts) else np.zeros(0, np.int64)
+            count = value[find(word_keys(part, starts, stops))] if len(starts) else np.zeros(0, np.int64)
             logs, seen = np.concatenate(([0.0], np.cumsum(np.log10(count + 0.5)))), np.concatenate(([0], np.cumsum(count > 0)))
             tokens[i : i + step] = np.diff(first) + 1
             known[i : i + step] = seen[first[1:]] - seen[first[:-1]] + (end > 0)
