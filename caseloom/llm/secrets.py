@@ -74,6 +74,8 @@ def _strings(items, fold: bool) -> tuple[set[str] | None, list[frozenset[str]]]:
                 exact = one | {""} if least == 0 else one
             elif least >= 1 and one is not None and len(one) == 1 and least <= 64:
                 inner = _of_strings({next(iter(one)) * least})
+            elif least >= 1 and one is not None:
+                inner = _of_strings(one)
             elif least >= 1 and one is None:
                 inner = inside
         if exact is not None and len(exact) * len(run) <= VARIANTS:
