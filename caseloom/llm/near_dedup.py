@@ -17,8 +17,8 @@ from .components import components
 #: symbols have, by the pigeonhole principle, a part that differs in ERRORS symbols at most; with ERRORS = 1 both emit, for
 #: each part, the keys of all its symbols but one. At similarity 0.8 a part fails with probability 0.345, all with 2e-5.
 PARTS, SYMBOLS = 10, 6
-#: Symbols that a candidate pair may differ in before it goes to the full sets; at similarity 0.8 one pair in 10^7 does.
-DISTANCE = 30
+#: Members of a cluster that one task compares with each other, at most: so many left over with so many of all.
+LEFT_BLOCK, ALL_BLOCK = 512, 2048
 _U = np.uint64
 _A, _B = constants(PARTS * SYMBOLS, 21), constants(PARTS * SYMBOLS, 22)
 _M = constants(SYMBOLS, 23)
@@ -81,11 +81,6 @@ def part_keys(signed: DataFrame) -> DataFrame:
     return signed.select("id", "sig").mapInArrow(keys, "key long, id long")
 
 
-def _near(a: str, b: str):
-    """Symbols in which the signatures a and b (arrays) agree, against DISTANCE."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) >= PARTS * SYMBOLS - DISTANCE
-
-
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the ids, one row each."""
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
@@ -107,6 +102,49 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def left_over_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join components of a cluster, given clusters (cluster, id, component) with more than one component.
+
+    Members outside a cluster's largest component are compared with all its members on full sets, in blocks of both: a
+    block counts shared shingles through postings, and gives for each member one link at most into each other component.
+    """
+    sizes = clusters.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    columns, rows = F.ceil((F.col("all") - F.col("top")) / LEFT_BLOCK).cast("int"), F.ceil(F.col("all") / ALL_BLOCK).cast("int")
+    near = clusters.join(largest, "cluster").withColumns({"columns": columns, "rows": rows, "left": F.col("component") != F.col("main")}).join(sets, "id")
+    place = F.xxhash64("id")
+    as_all = near.withColumn("row", F.pmod(place, F.col("rows")).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("left", F.lit(False))
+    as_left = near.filter("left").withColumn("column", F.pmod(F.shiftright(place, 20), F.col("columns")).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    want = ["cluster", "row", "column", "left", "id", "component", "shingles"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        left = table["left"].to_numpy(zero_copy_only=False)
+        ids, part = table["id"].to_numpy(), table["component"].to_numpy()
+        values = table["shingles"].combine_chunks()
+        values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+        flat, ends = values.flatten().to_numpy(), np.concatenate(([0], np.cumsum(values.value_lengths().to_numpy())))
+        size = np.diff(ends)
+        _, code = np.unique(flat, return_inverse=True)
+        mine = np.flatnonzero(~left)
+        owner = np.repeat(np.arange(len(ids)), size)
+        keep = ~left[owner]
+        order = np.argsort(code[keep], kind="stable")
+        posted, first = owner[keep][order], np.searchsorted(code[keep][order], np.arange(code.max() + 2 if len(code) else 1))
+        a, b = [], []
+        for x in np.flatnonzero(left).tolist():
+            own = code[ends[x] : ends[x + 1]]
+            lengths = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+            both = np.bincount(posted[at], minlength=len(ids))[mine]
+            hit = mine[(100 * both >= percent * (size[x] + size[mine] - both)) & (part[mine] != part[x])]
+            hit = hit[np.unique(part[hit], return_index=True)[1]]
+            a += [min(int(ids[x]), int(ids[y])) for y in hit]
+            b += [max(int(ids[x]), int(ids[y])) for y in hit]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return as_all.select(want).unionByName(as_left.select(want)).groupBy("cluster", "row", "column").applyInArrow(compare, "a long, b long")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
@@ -114,35 +152,30 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     2. Classes whose signatures share a part but for one symbol are in a bucket. Every bucket is first compared with two
        centres alone: its smallest id, and the member that shares most buckets with others (the original of edited copies
        shares more than they do among themselves). Full sets confirm these links, whose components follow.
-    3. Bucket members that the centres left in different components are compared with each other, inside the join: only
-       pairs whose signatures are near come out of it, and full sets confirm them. No pair within a component is made.
+    3. Classes that buckets connect are a cluster. Where the centres left a cluster in several components, the members
+       outside the largest are compared with the whole cluster, block by block, on full sets.
     Null or empty texts and texts without words are linked with nothing; a null id keeps a null component and is kept.
     Rows of one id have one text, or else their sets are taken as versions of one document.
     """
     signed = scratch(signatures(docs, width), "signatures")
     full = signed.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    member = scratch(full.select("doc_id", "set_key").join(scratch(classes, "classes"), "set_key").select("doc_id", "id").distinct(), "members")
+    classes = scratch(full.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
+    member = scratch(full.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "id").distinct(), "members")
     heads = full.join(member.filter("doc_id = id").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id", "sig"])
     keys = part_keys(heads)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
     buckets = scratch(keys.join(shared, "key"), "buckets")
     hubs = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
-    centre = buckets.join(hubs, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
-    ends = buckets.join(scratch(centre, "centres"), "key").select("id", F.explode(F.array_distinct(F.array("first", "hub"))).alias("to")).filter("id <> to")
+    centre = scratch(buckets.join(hubs, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub")), "centres")
+    ends = buckets.join(centre, "key").select("id", F.explode(F.array_distinct(F.array("first", "hub"))).alias("to")).filter("id <> to")
     pairs = scratch(ends.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), "pairs")
     sets = scratch(_full_sets(docs, buckets.select("id").distinct(), width), "sets")
     links = scratch(confirmed(pairs, sets, percent), "links")
-    found = scratch(components(links), "components")
-    placed = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    symbols = heads.select("id", F.expr(f"transform(sequence(0, {PARTS * SYMBOLS - 1}), i -> hex(substring(sig, i * 4 + 1, 4)))").alias("s"))
-    rest = scratch(placed.join(mixed_keys, "key", "left_semi").join(symbols, "id"), "rest")
-    l, r = rest.alias("l"), rest.alias("r")  # noqa: E741
-    others = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component")) & _near("l.s", "r.s")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch(confirmed(others, sets, percent), "links")
+    found, coarse = scratch(components(links), "components"), scratch(components(pairs), "clusters")
+    clusters = coarse.withColumnRenamed("component", "cluster").join(found, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
+    more = scratch(left_over_links(clusters, sets, percent), "links")
     every = scratch(components(links.union(more)), "components")
-    for table in (buckets, pairs, sets, links, found, rest, more):
+    for table in (classes, buckets, centre, pairs, sets, links, found, coarse, more):
         remove(table)
     of = member.join(every.withColumnRenamed("id", "_of"), F.col("id") == F.col("_of"), "left").select(F.col("doc_id").alias("_doc"), F.coalesce("component", "id").alias("component")).groupBy("_doc").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(of, F.col("doc_id") == F.col("_doc"), "left")
