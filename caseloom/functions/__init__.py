@@ -1 +1 @@
-
+"""Column functions: strings, spans, scores, dates and JSON."""

@@ -1 +1 @@
-
+"""Named queries with their SQL, by family."""
