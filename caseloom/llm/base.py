@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch sent to Python: texts of 100 KB then stay under some 30 MB a batch.
 ARROW_ROWS = 256
 #: UTF-8 bytes of texts that numpy works on at once; a single longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -128,8 +128,9 @@ def words(data: np.ndarray, ends: np.ndarray, between: np.ndarray = SPACES) -> t
     return starts, stops, np.searchsorted(starts, ends)
 
 
-_BYTES = constants(256, 11)
 _PLACES = constants(4096, 12)
+#: A number for each byte, the same for A-Z as for a-z, and 0 for those between words.
+_VALUES = {between.tobytes(): np.where(between, _U(0), constants(256, 11)[_LOWER]) for between in (SPACES, MARKS)}
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, between: np.ndarray = SPACES) -> np.ndarray:
@@ -138,12 +139,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, between
         return np.zeros(0, np.uint64)
     data, shift = data[starts[0] : stops[-1]], starts[0]
     starts, stops = starts - shift, stops - shift
-    longest = int(np.diff(np.append(starts, len(data))).max())
+    steps = np.diff(starts, append=len(data))
+    longest = int(steps.max())
     places = _PLACES if longest <= len(_PLACES) else constants(longest, 12)
-    at = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    own = _BYTES[_LOWER[data]]
-    own *= places[at]
-    own[between[data]] = 0
+    own = _VALUES[between.tobytes()][data]
+    own *= places[np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), steps)]
     return mixed(np.add.reduceat(own, starts) + (stops - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 

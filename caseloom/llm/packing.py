@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import hashed_rows, load, mixed, small_batches, text_or_empty
+from .base import hashed_rows, load, small_batches, text_or_empty
 
 #: Tokens of a sequence; the id that ends a document.
 LENGTH, END = 2048, 1
@@ -56,9 +56,8 @@ def curve_keys(text: pa.Array) -> np.ndarray:
         n = np.diff(first)
         point = np.zeros((len(n), DIMENSIONS))
         for d in range(DIMENSIONS):
-            signs = ((mixed(hashes + _U(d + 1)) >> _U(63)).astype(np.int64) << 1) - 1
-            total = np.concatenate(([0], np.cumsum(signs)))
-            point[:, d] = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(n, 1))
+            total = np.concatenate(([0], np.cumsum((hashes >> _U(63 - d)) & _U(1), dtype=np.int64)))
+            point[:, d] = (2 * (total[first[1:]] - total[first[:-1]]) - n) / np.sqrt(np.maximum(n, 1))
         grid = np.clip((0.5 + np.arctan(point / 3) / np.pi) * (1 << DEPTH), 0, (1 << DEPTH) - 1).astype(np.int64)
         out.append(hilbert(grid, DEPTH))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -115,9 +114,9 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, with_ids: b
             loaded["t"] = tokenizer(path)
         for batch in batches:
             key = (curve_keys(batch["text"]) << SPREAD) | batch["salt"].to_numpy()
-            ids = [np.array([*loaded["t"].encode_ordinary(t), END], "<u4") for t in batch["text"].to_pylist()]
-            small = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in ids]
+            ids = [np.array([*loaded["t"].encode_ordinary(t), END], np.uint32) for t in batch["text"].to_pylist()]
             narrow = [bool(x.max() < 1 << 16) for x in ids]
+            small = [x.astype("<u2" if n else "<u4").tobytes() for x, n in zip(ids, narrow, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.searchsorted(bounds, key, "right").astype(np.int64)), pa.array(key), pa.array(narrow, pa.bool_()), pa.array(small, pa.binary())], ["doc_id", "stretch", "key", "narrow", "ids"])
 
     encoded = docs.select("doc_id", "text", salt.alias("salt")).mapInArrow(encode, "doc_id long, stretch long, key long, narrow boolean, ids binary")
