@@ -25,6 +25,8 @@ FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length".split(),
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length".split(),
 }
+#: The text writer's gzip level, by Hadoop's name for it.
+LEVEL = {"zlib.compress.level": "BEST_SPEED"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -69,7 +71,7 @@ def write_arcs(pages: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.spark_partition_id().alias("part"))
-    rows.mapInArrow(records, "value string").write.options(compression="gzip", lineSep="\n", maxRecordsPerFile=per_file).text(path)
+    rows.mapInArrow(records, "value string").write.options(compression="gzip", lineSep="\n", maxRecordsPerFile=per_file, **LEVEL).text(path)
 
 
 def arc_record(version: int, url: str, kind: str, status: str, content: str) -> str:
@@ -183,7 +185,7 @@ def convert(spark: SparkSession, arcs: str, warcs: str, least: int = 0) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     joined = archives.join(told, F.col("path") == F.col("of"), "left").select("path", "content", "revisits")
-    joined.mapInArrow(turn, "value string").write.options(compression="gzip", lineSep="\r\n\r\n").text(warcs)
+    joined.mapInArrow(turn, "value string").write.options(compression="gzip", lineSep="\r\n\r\n", **LEVEL).text(warcs)
     remove(seen)
     remove(best)
 
