@@ -18,7 +18,7 @@ TIER = "case when ms < 100 then 'SS_LIGHTNING' when ms < 250 then 'SS_ULTRA_FAST
 def log(spark, d):
     e = table(spark, d, "events")
     mode = F.element_at(F.array(*map(F.lit, MODES)), (F.col("user_id") % 5 + 1).cast("int"))
-    return e.select("event_id", "ts", "user_id", mode.alias("mode"), (F.col("value") * 100.0).alias("ms"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), (F.col("event_type") != "error").alias("success"), "event_type")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", mode.alias("mode"), (F.col("value") * 100.0).alias("ms"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), (F.col("event_type") != "error").alias("success"), "event_type")
 
 
 def _agg_sql(rows: str) -> str:
