@@ -1 +1,66 @@
-"""(follows)"""
+"""What stores hold, and reports over streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..sources import stores as S
+from ..streaming import operations as O
+from .chunks import WINDOWS, windows
+from .mentions import MENTIONS, found
+from .metrics import MODES
+from .registry import query, table
+
+
+@query(rf"with {WINDOWS} select doc_id as document_id, chunk as chunk_index, doc_id || '_chunk_' || chunk as chunk_id, case when n > 0 then floor(n * 1.3)::int else length(content) // 4 end::int as token_count from (select *, len(list_filter(string_split_regex(content, '\s+'), lambda x: x <> '')) as n from w)")
+def store_chunk_rows(spark, d):
+    return S.chunk_rows(windows(spark, d).withColumnRenamed("doc_id", "document_id")).drop("content")
+
+
+@query(f"with {MENTIONS}, r as (select *, row_number() over (partition by doc_id, entity_type, lower(trim(text)) order by confidence desc, text) as k from m) select substr(md5(entity_type || ':' || lower(trim(text))), 1, 16) as entity_id, entity_type, min(doc_id) as first_seen_document_id, count(distinct doc_id) as documents, round(max(confidence), 8) as confidence, min(lower(trim(text))) as canonical from r where k = 1 group by 1, 2")
+def store_entities(spark, d):
+    m = found(spark, d).withColumnRenamed("doc_id", "document_id")
+    return S.merged_entities(m).withColumn("confidence", F.round("confidence", 8))
+
+
+@query("with a as (select c_custkey as id, 1 as version, c_acctbal as value from customer union all select c_custkey, 2, c_acctbal + 1 from customer where c_custkey % 3 = 0 union all select c_custkey + 100000, 2, c_acctbal from customer where c_custkey % 5 = 0) select id, version, round(value, 4) as value from (select *, row_number() over (partition by id order by version desc) as r from a) where r = 1")
+def store_upsert(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("version"), F.col("c_acctbal").alias("value"))
+    new = c.filter("id % 3 = 0").select("id", F.lit(2).alias("version"), (F.col("value") + 1).alias("value")).union(c.filter("id % 5 = 0").select(F.col("id") + 100000, F.lit(2), "value"))
+    return S.upserted(c, new, ["id"], "version").withColumn("value", F.round("value", 4))
+
+
+def _stream(spark, d):
+    schema = table(spark, d, "events").schema
+    e = O.read_events(spark, d, schema)
+    mode = F.element_at(F.array(*map(F.lit, MODES)), (F.col("user_id") % 5 + 1).cast("int"))
+    return e.select("event_id", "ts", "user_id", "event_type", mode.alias("mode"), (F.col("value") * 100).alias("ms"), (F.col("event_type") != "error").alias("success"))
+
+
+@query("select time_bucket(interval 1 day, ts)::timestamp as start, ['local_only','local_with_remote_fallback','remote_with_local_fallback','remote_only','hybrid'][user_id % 5 + 1] as mode, count(*) as n, round(avg(value * 100), 6) as mean_ms, count_if(event_type = 'error') as failed from events group by 1, 2")
+def stream_daily(spark, d):
+    out = O.run_once(O.windowed(_stream(spark, d), "mode", "1 day"), f"daily_{uuid.uuid4().hex}", "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "mode", "n", F.round("mean_ms", 6).alias("mean_ms"), "failed")
+
+
+@query("with e as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events), s as (select *, sum(case when ts - p < interval 6 hour then 0 else 1 end) over (partition by user_id order by ts) as k from e) select user_id, min(ts)::timestamp as start, count(*) as n from s group by user_id, k")
+def stream_sessions(spark, d):
+    out = O.run_once(O.sessions(_stream(spark, d), "user_id", "6 hours"), f"sessions_{uuid.uuid4().hex}", "complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query()
+def stream_pairs(spark, d):
+    some = _stream(spark, d).filter(F.col("event_type").isin("signup", "purchase"))
+    kind = F.when(F.col("event_type") == "signup", "start").otherwise("complete")
+    out = O.run_once(O.pairs(some.select(F.col("user_id").alias("id"), "ts", kind.alias("kind"))), f"pairs_{uuid.uuid4().hex}")
+    return out.groupBy("id").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"))
+
+
+@query()
+def stream_batches(spark, d):
+    rows = _stream(spark, d).select(F.when(F.col("ms") < 2500, "small").otherwise("large").alias("tier"), "ts")
+    out = O.run_once(O.batches(rows, 8, 3_600_000), f"batches_{uuid.uuid4().hex}")
+    return out.groupBy("tier", "reason").agg(F.count("*").alias("n"), F.sum("size").alias("requests"))
