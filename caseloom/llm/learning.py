@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import id_crc, text_or_empty
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int) -> tuple[list[str], np.ndarray, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int) -> tuple[pa.Array, np.ndarray, float]:
     """Texts and labels of at most so many rows of each class, and the log odds by which the classes' shares differ from all.
 
     Rows with held_out(crc32 of the id) are left out. Rows are taken by a hash of their id, so the choice is the same
@@ -23,10 +24,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, ro
         ids.append(own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     chosen = ids[0].union(ids[1]).withColumnRenamed("doc_id", "_id")
     got = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").toArrow()
-    got = sorted(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["y"].to_pylist(), strict=True))
-    y = np.array([g[2] for g in got], np.float64)
+    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    y = got["y"].to_numpy().astype(np.float64)
     shift = np.log((shares[1] + 1) / (shares[0] + 1)) - np.log((y.sum() + 1) / ((1 - y).sum() + 1))
-    return [g[1] for g in got], y, float(shift)
+    return got["text"].cast(pa.large_string()).combine_chunks(), y, float(shift)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

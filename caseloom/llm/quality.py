@@ -79,7 +79,7 @@ def pooled(data: np.ndarray, ends: np.ndarray, net: Network) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], y: np.ndarray, shift: float) -> Network:
+def train(texts: pa.Array, y: np.ndarray, shift: float) -> Network:
     """Filters are learned on random chunks of the rows, then the output on the pooled chunks of whole rows.
 
     shift: added to the log odds. Without examples of both classes every score is that of the known shares.
@@ -88,7 +88,7 @@ def train(texts: list[str], y: np.ndarray, shift: float) -> Network:
     start = [random.normal(0, 0.5, (256, EMBED)), random.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)), np.zeros(FILTERS), random.normal(0, 0.3, FILTERS), np.zeros(1)]
     if not len(y) or y.min() == y.max():
         return Network(start[0].astype(np.float32), start[1].astype(np.float32), start[2].astype(np.float32), np.zeros(2 * FILTERS), float(shift if not len(y) else np.log((y.sum() + 1) / ((1 - y).sum() + 1)) + shift))
-    data, ends = texts_of(pa.array(texts, pa.large_string()))
+    data, ends = texts_of(texts)
     sizes = np.diff(ends)
     usable, classes = sizes >= WIDTH, [np.flatnonzero((y == c) & (sizes >= WIDTH)) for c in (0, 1)]
     if not all(map(len, classes)):

@@ -14,7 +14,7 @@ from .base import _LOWER, blocks, id_crc, load, small_batches, texts_of
 from .learning import adam, labelled_sample, sigmoid
 
 #: Lengths of n-grams in bytes of lower-cased (A-Z) UTF-8; hash bits; n-grams that get a weight.
-LENGTHS, BITS, FEATURES = (4, 6, 8), 22, 1 << 11
+LENGTHS, BITS, FEATURES = (4, 6, 8), 22, 1 << 11  # under 2^15
 #: Labelled rows of each class to learn from, at most.
 SAMPLE = 2500
 _U = np.uint64
@@ -57,26 +57,28 @@ def grams(data: np.ndarray, ends: np.ndarray, number: np.ndarray | None = None)
     return both >> 32, both & 0xFFFFFFFF
 
 
-def train(texts: list[str], y: np.ndarray, shift: float) -> Model:
+def train(texts: pa.Array, y: np.ndarray, shift: float) -> Model:
     """shift: added to the log odds. Without examples of both classes every score is that of the known shares."""
     size = 1 << BITS
     if not len(y) or y.min() == y.max():
-        return Model(np.full(size, -1, np.int32), np.zeros(1), float(shift if not len(y) else np.log((y.sum() + 1) / ((1 - y).sum() + 1)) + shift))
+        return Model(np.full(size, -1, np.int16), np.zeros(1), float(shift if not len(y) else np.log((y.sum() + 1) / ((1 - y).sum() + 1)) + shift))
     counts = np.zeros((2, size), np.int32)
-    data, ends = texts_of(pa.array(texts, pa.large_string()))
+    data, ends = texts_of(texts)
     for i, j in blocks(ends):
         rows, code = grams(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
         for c in (0, 1):
-            counts[c] += np.bincount(code[y[i + rows] == c], minlength=size).astype(np.int32)
-    pos, neg = counts[1] + 0.5, counts[0] + 0.5
+            np.add.at(counts[c], code[y[i + rows] == c], 1)
+    some = np.flatnonzero(counts[0] + counts[1] >= 2)
+    pos, neg = counts[1][some] + 0.5, counts[0][some] + 0.5
+    del counts
     ratio = np.log(pos / (y.sum() + 1)) - np.log(neg / ((1 - y).sum() + 1))
     sure = np.abs(ratio) / np.sqrt(1 / pos + 1 / neg)
-    sure[counts.sum(0) < 2] = 0
-    best = np.argsort(-sure, kind="stable")[:FEATURES]
-    best = np.sort(best[sure[best] > 0])
-    number = np.full(size, -1, np.int32)
-    number[best] = np.arange(len(best))
+    best = np.sort(np.argsort(-sure, kind="stable")[:FEATURES])
+    best = best[sure[best] > 0]
+    number = np.full(size, -1, np.int16)
+    number[some[best]] = np.arange(len(best))
     scale = ratio[best]
+    del some, pos, neg, ratio, sure
     parts = []
     for i, j in blocks(ends):
         rows, f = grams(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], number)

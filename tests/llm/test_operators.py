@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caseloom.llm import context_tree, decontamination, exact_dedup, near_dedup, packing, quality, secrets, sharding, toxicity, warc
@@ -53,9 +54,9 @@ def test_null_ids_and_repeated_rows(spark):
     assert packing.pack_documents(docs, packing.default_tokenizer()).count() == 5
     scored, n, v = context_tree.score_texts(docs, docs["doc_id"].isNotNull())
     assert scored.count() == 5 and (n, v) == (2 * 4 + 3, 6)
-    model = toxicity.train(["a bad word here"] * 3 + ["a good text"] * 3, np.array([1.0] * 3 + [0.0] * 3), 0.0)
+    model = toxicity.train(pa.array(["a bad word here"] * 3 + ["a good text"] * 3), np.array([1.0] * 3 + [0.0] * 3), 0.0)
     assert toxicity.score_documents(docs, model).count() == 5
-    net = quality.train(["a fine text of words"] * 3 + ["%%% $$$ ###"] * 3, np.array([1.0] * 3 + [0.0] * 3), 0.0)
+    net = quality.train(pa.array(["a fine text of words"] * 3 + ["%%% $$$ ###"] * 3), np.array([1.0] * 3 + [0.0] * 3), 0.0)
     assert quality.score_documents(docs, net).count() == 5
 
 
@@ -269,9 +270,7 @@ def test_learned_models_tell_held_out_texts_apart():
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 7)))
     text = lambda bad: " ".join([*(word() for _ in range(r.randint(20, 200))), *(["dreadful", "vileness"] if bad else [])])
     y = [i % 2 for i in range(400)]
-    model = toxicity.train([text(k) for k in y[:300]], np.array(y[:300], float), 0.0)
-    import pyarrow as pa
-
+    model = toxicity.train(pa.array([text(k) for k in y[:300]]), np.array(y[:300], float), 0.0)
     from caseloom.llm.base import texts_of
 
     data, ends = texts_of(pa.array([text(k) for k in y[300:]]))
@@ -279,7 +278,7 @@ def test_learned_models_tell_held_out_texts_apart():
     score = np.bincount(rows, model.weight[f], 100) + model.bias
     assert ((score > 0) == np.array(y[300:])).mean() > 0.95
     junk = lambda good: " ".join(word() + ("" if good else r.choice(["%%%", "$$$"])) for _ in range(r.randint(5, 300)))
-    net = quality.train([junk(k) for k in y[:300]], np.array(y[:300], float), 0.0)
+    net = quality.train(pa.array([junk(k) for k in y[:300]]), np.array(y[:300], float), 0.0)
     data, ends = texts_of(pa.array([junk(k) for k in y[300:]]))
     assert (((quality.pooled(data, ends, net) @ net.out + net.bias) > 0) == np.array(y[300:])).mean() > 0.95
 
