@@ -30,8 +30,9 @@ def bare_json(raw: Column) -> Column:
 
 
 def parsed(raw: Column) -> Column:
-    """Response struct of a model's answer; null where it is no JSON even after repair."""
-    return F.from_json(bare_json(raw), RESPONSE)
+    """Response struct of a model's answer; null where it is no JSON or holds no list of entities."""
+    r = F.from_json(bare_json(raw), RESPONSE)
+    return F.when(F.coalesce(r["entities"], r["extracted_entities"], r["results"]).isNotNull(), r)
 
 
 def entities(response: Column) -> Column:
