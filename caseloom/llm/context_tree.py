@@ -25,11 +25,12 @@ from .base import id_crc, load, mixed, scratch, small_batches, text_or_empty, wo
 #: Bytes of the longest context.
 DEPTH = 6
 #: Bytes of texts in a block, about (a longer text is a block of its own); distinct keys of a bucket, about.
-BLOCK, BUCKET_KEYS = 12 << 20, 1 << 20
+BLOCK, BUCKET_KEYS = 8 << 20, 1 << 20
 #: What ends a word and a text, as tokens of the model.
 SPACE, END = b"\x20", b"\x0a"
 GRAMS, WORDS = 0, 1
 _U = np.uint64
+MET = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("part", pa.list_(pa.int32())), ("block", pa.list_(pa.int32())), ("places", pa.list_(pa.binary())), ("byte", pa.int32()), ("place", pa.int32()), ("ones", pa.float64()), ("total", pa.float64()), ("mixture", pa.float64())])
 #: The key that stands for the end among words.
 END_KEY = _U(1)
 
@@ -101,20 +102,22 @@ def counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the same keys added up."""
-    if len(parts) == 1:
-        return parts[0]
-    keys = np.concatenate([p[0] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], np.concatenate([p[1] for p in parts])[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+    """Counts of the same keys added up; takes the parts out of their list, four at a time, so that few are in memory twice."""
+    while len(parts) > 1:
+        some = [parts.pop() for _ in range(min(4, len(parts)))]
+        keys, n = np.concatenate([p[0] for p in some]), np.concatenate([p[1] for p in some])
+        del some
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        parts.insert(0, (keys[first], np.add.reduceat(n, first) if len(first) else n))
+    return parts[0]
 
 
 def block_counts(data: np.ndarray, ends: np.ndarray, training: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Distinct grams and words of a block of canonical texts, with their numbers in its training texts."""
     grams, tokens = [], []
-    step = max(1, len(ends) // max(1, len(data) >> 21))
+    step = max(1, len(ends) // max(1, len(data) >> 19))
     for i in range(0, len(ends) - 1, step):
         own = ends[i : i + step + 1]
         part, own = data[own[0] : own[-1]], own - own[0]
@@ -150,6 +153,22 @@ def unpacked(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
+def packed_planes(a: np.ndarray) -> bytes:
+    """Byte plane by byte plane."""
+    return packed(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T))
+
+
+def unpacked_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(unpacked(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def short(a: np.ndarray) -> np.ndarray:
+    """32-bit floats with mantissas rounded to 16 bits: four parts in a million, a byte less to send."""
+    bits = np.ascontiguousarray(a, np.float32).view(np.uint32)
+    return ((bits + np.uint32(0x40)) & np.uint32(0xFFFFFF80)).view(np.float32)
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane."""
     steps = np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8)
@@ -252,7 +271,7 @@ class Places:
     """Finds keys in a sorted array by two hashed slots each, and by bisection for the few that have none."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.bits = keys, max(4, int(np.ceil(np.log2(max(len(keys), 1) * 3))))
+        self.keys, self.bits = keys, max(4, int(np.ceil(np.log2(max(len(keys), 1) * 1.4))))
         self.first, self.second = (np.zeros(1 << self.bits, np.int32) for _ in range(2))
         self.first[self._slot(keys, 1)] = np.arange(len(keys))
         left = np.flatnonzero(keys[self.first[self._slot(keys, 1)]] != keys)
@@ -281,7 +300,7 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_or_empty()) + 2)).first()[0] or 0
-    buckets = int(max(6, min(4096, -(-size // (BUCKET_KEYS * 16)))))
+    buckets = int(max(24, min(4096, -(-size // (BUCKET_KEYS * 8)))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flags, texts, total, n = [], [], [], 0, 0
@@ -315,21 +334,23 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
     made = scratch(rows.mapInArrow(cut, "part int, block int, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, n long"), "blocks", "kind")
     asked = made.filter("kind >= 0").select("part", "block", "kind", "bucket", "a", "b")
 
-    def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return summed([(unpacked_keys(a), unpacked(b, np.uint32).astype(np.int64)) for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True)])
-
-    def summary(table: pa.Table) -> pa.Table:
-        keys, n = gathered(table)
-        if table["kind"][0].as_py() == WORDS:
-            own = [[-1], [0], [float(n.sum())], [float((n > 0).sum())], [0.0]]
+    def meet(table: pa.Table) -> pa.Table:
+        """The requests of a bucket: its keys with their counts, the places of each block's keys among them, and the sums for the top."""
+        kind, own = table["kind"][0].as_py(), [unpacked_keys(a) for a in table["a"].to_pylist()]
+        keys, n = summed([(k, unpacked(b, np.uint32).astype(np.int64)) for k, b in zip(own, table["b"].to_pylist(), strict=True)])
+        places = [packed_keys(np.searchsorted(keys, k).astype(np.uint64)) for k in own]
+        first = {"kind": kind, "bucket": table["bucket"][0].as_py(), "keys": packed_keys(keys), "n": packed(n), "part": table["part"].to_pylist(), "block": table["block"].to_pylist(), "places": places}
+        if kind == WORDS:
+            sums = [[-1], [0], [float(n.sum())], [float((n > 0).sum())], [0.0]]
         else:
             s = Subtrees(keys[n > 0], n[n > 0]).summary() if n.any() else np.zeros((256, 256, 3))
             x, y = np.nonzero(s[:, :, 1])
-            own = [x, y, *(s[x, y, k] for k in range(3))]
-        return pa.table([pa.array(c, k) for c, k in zip(own, [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()], strict=True)], names=["byte", "place", "ones", "total", "mixture"])
+            sums = [x.tolist(), y.tolist(), *(s[x, y, k].tolist() for k in range(3))]
+        rows = [first, *({"byte": v[0], "place": v[1], "ones": v[2], "total": v[3], "mixture": v[4]} for v in zip(*sums, strict=True))]
+        return pa.Table.from_pylist(rows, schema=MET)
 
-    sums = asked.groupBy("kind", "bucket").applyInArrow(summary, "byte int, place int, ones double, total double, mixture double")
-    found = sums.groupBy("byte", "place").agg(*[F.sum(c).alias(c) for c in ("ones", "total", "mixture")]).toArrow()
+    met = scratch(asked.groupBy("kind", "bucket").applyInArrow(meet, "kind int, bucket int, keys binary, n binary, part array<int>, block array<int>, places array<binary>, byte int, place int, ones double, total double, mixture double"), "met")
+    found = met.filter("byte is not null").groupBy("byte", "place").agg(*[F.sum(c).alias(c) for c in ("ones", "total", "mixture")]).toArrow()
     whole, n_tokens, n_types = np.zeros((256, 256, 3)), 0, 0
     for x, y, *v in zip(*(found[c].to_pylist() for c in ("byte", "place", "ones", "total", "mixture")), strict=True):
         if x < 0:
@@ -339,16 +360,13 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
     top = spark.sparkContext.broadcast(Top(whole))
 
     def answers(table: pa.Table) -> pa.Table:
-        keys, n = gathered(table)
-        if table["kind"][0].as_py() == WORDS:
-            value = n
-        else:
-            value = np.zeros(len(keys), np.float32)
-            value[:] = Subtrees(keys, n).log_probabilities(top.value)
-        out = [packed(value[np.searchsorted(keys, unpacked_keys(a))]) for a in table["a"].to_pylist()]
-        return pa.table([table["part"], table["block"], table["kind"], table["bucket"], pa.array(out, pa.binary())], names=["part", "block", "kind", "bucket", "v"])
+        own = table.to_pylist()[0]
+        keys, n = unpacked_keys(own["keys"]), unpacked(own["n"], np.int64)
+        value = n if own["kind"] == WORDS else short(Subtrees(keys, n).log_probabilities(top.value))
+        out = [packed_planes(value[unpacked_keys(p).astype(np.int64)]) for p in own["places"]]
+        return pa.table({"part": own["part"], "block": own["block"], "kind": [own["kind"]] * len(out), "bucket": [own["bucket"]] * len(out), "v": out}, schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("v", pa.binary())]))
 
-    told = asked.groupBy("kind", "bucket").applyInArrow(answers, "part int, block int, kind int, bucket int, v binary")
+    told = met.filter("keys is not null").select("kind", "bucket", "keys", "n", "part", "block", "places").groupBy("kind", "bucket").applyInArrow(answers, "part int, block int, kind int, bucket int, v binary")
 
     def score(texts: pa.Table, back: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "n_bytes", "score"]
@@ -362,12 +380,12 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
         for kind, (keys, n) in block_counts(data, ends, flag).items():
             value = np.zeros(len(keys), np.float32 if kind == GRAMS else np.int64)
             for b, at, _ in bucketed(kind, keys, n, buckets):
-                value[at] = unpacked(values[kind, b], value.dtype)
+                value[at] = unpacked_planes(values[kind, b], value.dtype)
             looked[kind] = (Places(keys), value)
         total, base = np.zeros(len(sizes)), np.zeros(len(sizes))
         tokens, known = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         end = int(looked[WORDS][1][looked[WORDS][0](np.array([END_KEY]))[0]])
-        step = max(1, len(ends) // max(1, len(data) >> 21))
+        step = max(1, len(ends) // max(1, len(data) >> 19))
         for i in range(0, len(sizes), step):
             cuts = ends[i : i + step + 1]
             part, cuts = data[cuts[0] : cuts[-1]], cuts - cuts[0]
