@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -14,7 +16,11 @@ def query(sql: str | None = None, name: str | None = None):
     """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL if SQL can express it."""
 
     def add(f):
-        QUERIES[name or f.__name__] = f
+        def run(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name or f.__name__] = run
         if sql:
             SQL[name or f.__name__] = sql
         return f
