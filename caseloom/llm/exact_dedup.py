@@ -51,7 +51,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     their shuffle, and the way back joins rows without texts, whose hot keys Spark can split.
     """
     made = scratch(recipes(docs), "recipes")
-    best = made.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("best"))
+    best = scratch(made.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("best")), "best")
     mine, theirs = made.alias("m"), best.withColumnRenamed("recipe", "of").alias("b")
     return mine.join(theirs, F.col("m.recipe") == F.col("b.of")).select("doc_id", "row", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
