@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows in one Arrow batch sent to Python: texts of 100 KB then stay under some 30 MB a batch.
 ARROW_ROWS = 256
 #: UTF-8 bytes of texts that numpy works on at once; a single longer text is a block of its own.
@@ -21,7 +23,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of texts; called by every operator that hands texts to Python."""
+    """Bounds the Arrow batches of texts, and sends workers this package; called by every operator that hands texts to Python."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .base import checkpointed, load, text_or_empty
 
 #: Bytes that a row takes besides its text.
@@ -25,6 +26,7 @@ def assign_shards(docs: DataFrame, shards: int) -> DataFrame:
     id are ordered by checksum and size, and are interchangeable beyond that. Without rows the result is empty; shards
     may be empty when there are fewer rows than shards or a text is longer than a shard.
     """
+    ship(docs.sparkSession)
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .base import load, remove, scratch, scratch_path, small_batches
 
 #: Bytes of an archive before compression, about; archives in one Arrow batch. An archive is parsed as a whole.
@@ -36,6 +37,7 @@ def sha1(data: bytes) -> str:
 
 
 def _few_archives(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARCHIVES_AT_ONCE))
 
 
