@@ -20,7 +20,7 @@ def doc_size(spark, d):
     return sizing.with_size(table(spark, d, "documents")).select("doc_id", "chars", "tokens", "words", "lines", "pages", "size_category")
 
 
-@query(f"with s as ({SIZED}) select size_category, count(*) as n, sum(tokens) as tokens, round(sum(case size_category when 'very_small' then 0.5 when 'small' then 1.0 when 'medium' then least(4.0, (chars // 32000 + 1) * 0.85) else (chars // 32000 + 1) end), 4) as est_seconds, round(sum(case size_category when 'very_small' then 5810.0 when 'small' then 30838.0 else (chars // 32000 + 1) * 30838.0 end * 0.000656 / 1000), 6) as est_cost from s group by 1")
+@query(f"with s as ({SIZED}) select size_category, count(*) as n, sum(tokens)::bigint as tokens, round(sum(case size_category when 'very_small' then 0.5 when 'small' then 1.0 when 'medium' then least(4.0, (chars // 32000 + 1) * 0.85) else (chars // 32000 + 1) end), 4) as est_seconds, round(sum(case size_category when 'very_small' then 5810.0 when 'small' then 30838.0 else (chars // 32000 + 1) * 30838.0 end * 0.000656 / 1000), 6) as est_cost from s group by 1")
 def doc_size_estimates(spark, d):
     sized = sizing.with_size(table(spark, d, "documents"))
     return sized.groupBy("size_category").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.round(F.sum("est_seconds"), 4).alias("est_seconds"), F.round(F.sum("est_cost"), 6).alias("est_cost"))
@@ -70,7 +70,7 @@ for _name, _branch in {"single_pass": "'single_pass'", "three_wave": _SMALL, "fo
     query(f"{_route_sql(_branch)} {_COLUMNS}", f"doc_route_override_{_name}")(lambda spark, d, _name=_name: _routed(sizing.route(table(spark, d, "documents"), override=_name)))
 
 
-@query(f"{_route_sql(_PLAIN)} select strategy, count(*) as n, sum(est_tokens) as tokens, round(sum(est_cost), 4)::double as cost, round(sum(est_duration), 4)::double as seconds, sum(num_chunks) as chunks from c group by 1")
+@query(f"{_route_sql(_PLAIN)} select strategy, count(*) as n, sum(est_tokens)::bigint as tokens, round(sum(est_cost), 4)::double as cost, round(sum(est_duration), 4)::double as seconds, sum(num_chunks)::bigint as chunks from c group by 1")
 def doc_route_summary(spark, d):
     routed = sizing.route(table(spark, d, "documents"))
     return routed.groupBy("strategy").agg(F.count("*").alias("n"), F.sum("est_tokens").alias("tokens"), F.round(F.sum("est_cost"), 4).alias("cost"), F.round(F.sum("est_duration"), 4).alias("seconds"), F.sum("num_chunks").alias("chunks"))

@@ -161,7 +161,7 @@ def catalog_types(spark, d):
     return C.frame(spark).groupBy("entity_type").agg(F.count("*").alias("patterns"), F.round(F.avg("confidence"), 3).alias("mean"), F.countDistinct("source").alias("sources"), F.array_join(F.sort_array(F.collect_set("jurisdiction")), ",").alias("jurisdictions"), F.min("name").alias("first_name"))
 
 
-@query(f"with {CATALOG} select count(*) as patterns, count(distinct pattern_type) as groups, count(distinct entity_type) as types, count_if(confidence < 0.5) as b0, count_if(confidence >= 0.5 and confidence < 0.7) as b5, count_if(confidence >= 0.7 and confidence < 0.8) as b7, count_if(confidence >= 0.8 and confidence < 0.9) as b8, count_if(confidence >= 0.9) as b9, count_if(len(dependencies) > 0) as with_dependencies from c")
+@query(f"with {CATALOG} select count(*) as patterns, count(distinct pattern_type) as groups, count(distinct entity_type) as types, count_if(confidence < 0.5)::bigint as b0, count_if(confidence >= 0.5 and confidence < 0.7)::bigint as b5, count_if(confidence >= 0.7 and confidence < 0.8)::bigint as b7, count_if(confidence >= 0.8 and confidence < 0.9)::bigint as b8, count_if(confidence >= 0.9)::bigint as b9, count_if(len(dependencies) > 0)::bigint as with_dependencies from c")
 def catalog_statistics(spark, d):
     c = F.col("confidence")
     return C.frame(spark).agg(F.count("*").alias("patterns"), F.countDistinct("pattern_type").alias("groups"), F.countDistinct("entity_type").alias("types"), F.count_if(c < 0.5).alias("b0"), F.count_if((c >= 0.5) & (c < 0.7)).alias("b5"), F.count_if((c >= 0.7) & (c < 0.8)).alias("b7"), F.count_if((c >= 0.8) & (c < 0.9)).alias("b8"), F.count_if(c >= 0.9).alias("b9"), F.count_if(F.size("dependencies") > 0).alias("with_dependencies"))

@@ -23,11 +23,11 @@ def log(spark, d):
 
 def _agg_sql(rows: str) -> str:
     return f"""{LOG}, t as ({rows}), r as (select *, row_number() over (order by ms) - 1 as k, count(*) over () as n from t),
-    a as (select count(*) as total, count_if(success) as successful, count_if(not success) as failed, avg(ms) as avg_ms, min(ms) as min_ms, max(ms) as max_ms, sum(tokens) as tokens,
-      sum(tokens) / greatest(epoch(max(ts)) - epoch(min(ts)), 1.0::double) as tokens_per_second, count_if(not success) / count(*) * 100 as error_percent,
-      count_if(mode in ('local_only', 'local_with_remote_fallback') and ms <= 250 and success) / count(*) * 100 as usage_percent,
-      count_if(mode in ('local_only', 'local_with_remote_fallback') and success) / greatest(count_if(mode in ('local_only', 'local_with_remote_fallback')), 1) * 100 as local_percent,
-      count_if(mode in ('local_with_remote_fallback', 'remote_with_local_fallback')) / count(*) * 100 as fallback_percent,
+    a as (select count(*) as total, count_if(success)::bigint as successful, count_if(not success)::bigint as failed, avg(ms) as avg_ms, min(ms) as min_ms, max(ms) as max_ms, sum(tokens) as tokens,
+      sum(tokens) / greatest(epoch(max(ts)) - epoch(min(ts)), 1.0::double) as tokens_per_second, count_if(not success)::bigint / count(*) * 100 as error_percent,
+      count_if(mode in ('local_only', 'local_with_remote_fallback') and ms <= 250 and success)::bigint / count(*) * 100 as usage_percent,
+      count_if(mode in ('local_only', 'local_with_remote_fallback') and success)::bigint / greatest(count_if(mode in ('local_only', 'local_with_remote_fallback'))::bigint, 1) * 100 as local_percent,
+      count_if(mode in ('local_with_remote_fallback', 'remote_with_local_fallback'))::bigint / count(*) * 100 as fallback_percent,
       max(case when k = floor(n * 0.5) then ms end) as p50_ms, max(case when k = floor(n * 0.95::double) then ms end) as p95_ms, max(case when k = floor(n * 0.99::double) then ms end) as p99_ms from r)"""
 
 
@@ -79,7 +79,7 @@ def ops_mode_tier_sets(spark, d):
     return rows.groupingSets([["mode", "tier"], ["tier"]], "mode", "tier").agg(F.grouping("mode").cast("long").alias("all_modes"), F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
-@query(f"with {LOG}, t as (select * from log where ts >= (select max(ts) from log) - interval 300 second), a as (select count(*) as n, avg(ms) as mean, 1 - count_if(success) / count(*) as errors from t) select n, round(mean, 6) as mean, round(errors, 6) as errors, case when n < 5 then '' else array_to_string(list_filter([case when mean > 2000 then 'critical_latency' when mean > 500 then 'degraded_latency' end, case when errors > 0.1 then 'errors' end], lambda x: x is not null), ',') end as alerts from a")
+@query(f"with {LOG}, t as (select * from log where ts >= (select max(ts) from log) - interval 300 second), a as (select count(*) as n, avg(ms) as mean, 1 - count_if(success)::bigint / count(*) as errors from t) select n, round(mean, 6) as mean, round(errors, 6) as errors, case when n < 5 then '' else array_to_string(list_filter([case when mean > 2000 then 'critical_latency' when mean > 500 then 'degraded_latency' end, case when errors > 0.1 then 'errors' end], lambda x: x is not null), ',') end as alerts from a")
 def ops_alerts(spark, d):
     return M.alerts(log(spark, d)).select("n", F.round("mean", 6).alias("mean"), F.round("errors", 6).alias("errors"), F.array_join("alerts", ",").alias("alerts"))
 
@@ -126,7 +126,7 @@ def ops_start_complete(spark, d):
     return paired.select("user_id", "event_id", F.round(F.col("ts").cast("double") - F.col("since").cast("double"), 3).alias("seconds"))
 
 
-@query(f"with {MENTIONS} select bin, n from (select [count_if(c < 0.2), count_if(c >= 0.2 and c < 0.4), count_if(c >= 0.4 and c < 0.6), count_if(c >= 0.6 and c < 0.8), count_if(c >= 0.8 and c <= 1)] as v from (select confidence as c from m)), lateral (select unnest(range(0, 5))::int as bin, unnest(v) as n)")
+@query(f"with {MENTIONS} select bin, n from (select [count_if(c < 0.2)::bigint, count_if(c >= 0.2 and c < 0.4)::bigint, count_if(c >= 0.4 and c < 0.6)::bigint, count_if(c >= 0.6 and c < 0.8)::bigint, count_if(c >= 0.8 and c <= 1)::bigint] as v from (select confidence as c from m)), lateral (select unnest(range(0, 5))::int as bin, unnest(v) as n)")
 def confidence_histogram(spark, d):
     return M.histogram(found(spark, d), "confidence", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
 
@@ -137,23 +137,23 @@ def quality_metrics(spark, d):
     return found(spark, d).groupBy("source").agg(n.alias("n"), F.round(c, 6).alias("mean"), F.round(F.least(F.lit(1.0), c), 6).alias("precision_est"), F.least(F.lit(1.0), n / F.greatest(F.lit(100), n)).alias("recall_est"), F.round(2 * c / (c + 1), 6).alias("f1_est"))
 
 
-@query(f"with {MENTIONS}, a as (select entity_type, count(*) as n, avg(confidence) as c from m where source = 'regex' group by 1), b as (select entity_type, count(*) as n, avg(confidence) as c from m where source = 'model' group by 1) select coalesce(a.entity_type, b.entity_type) as entity_type, a.n as base, b.n as candidate, case when a.n is null then 'new' when b.n is null then 'missing' when b.c > a.c then 'improved' when b.c < a.c then 'degraded' else 'same' end as verdict, round(case when coalesce(a.n, 0) = 0 then 0 else (coalesce(b.n, 0) - a.n) / a.n * 100 end, 6) as delta_percent from a full join b on a.entity_type = b.entity_type")
+@query(f"with {MENTIONS}, a as (select entity_type, count(*) as n, avg(confidence) as c from m where source = 'regex' group by 1), b as (select entity_type, count(*) as n, avg(confidence) as c from m where source = 'model' group by 1) select coalesce(a.entity_type, b.entity_type) as entity_type, coalesce(a.n, 0) as base, coalesce(b.n, 0) as candidate, case when a.n is null then 'new' when b.n is null then 'missing' when b.c > a.c then 'improved' when b.c < a.c then 'degraded' else 'same' end as verdict, round(case when coalesce(a.n, 0) = 0 then 0 else (coalesce(b.n, 0) - a.n) / a.n * 100 end, 6) as delta_percent from a full join b on a.entity_type = b.entity_type")
 def quality_comparison(spark, d):
     m = found(spark, d)
     side = lambda s, n, c: m.filter(F.col("source") == s).groupBy("entity_type").agg(F.count("*").alias(n), F.avg("confidence").alias(c))
     both = side("regex", "base", "x").join(side("model", "candidate", "y"), "entity_type", "full")
     verdict = F.when(F.col("base").isNull(), "new").when(F.col("candidate").isNull(), "missing").when(F.col("y") > F.col("x"), "improved").when(F.col("y") < F.col("x"), "degraded").otherwise("same")
     base = F.coalesce("base", F.lit(0))
-    return both.select("entity_type", "base", "candidate", verdict.alias("verdict"), F.round(F.when(base == 0, 0.0).otherwise((F.coalesce("candidate", F.lit(0)) - base) / base * 100), 6).alias("delta_percent"))
+    return both.select("entity_type", base.alias("base"), F.coalesce("candidate", F.lit(0)).alias("candidate"), verdict.alias("verdict"), F.round(F.when(base == 0, 0.0).otherwise((F.coalesce("candidate", F.lit(0)) - base) / base * 100), 6).alias("delta_percent"))
 
 
-@query(f"with {MENTIONS} select entity_type, count_if(source = 'regex') as regex, count_if(source = 'model') as model, round(count(distinct source) / 2.0, 6)::double as coverage, round((count(distinct source) / 2.0) * 1.5 * (1 + avg(confidence)), 8)::double as score, concat_ws(',', case when count(distinct source) < 2 then 'single' end, case when avg(confidence) < 0.75 then 'unsure' end) as gaps from m group by 1")
+@query(f"with {MENTIONS} select entity_type, count_if(source = 'regex')::bigint as regex, count_if(source = 'model')::bigint as model, round(count(distinct source) / 2.0, 6)::double as coverage, round((count(distinct source) / 2.0) * 1.5 * (1 + avg(confidence)), 8)::double as score, concat_ws(',', case when count(distinct source) < 2 then 'single' end, case when avg(confidence) < 0.75 then 'unsure' end) as gaps from m group by 1")
 def type_scores(spark, d):
     k, c = F.countDistinct("source"), F.avg("confidence")
     return found(spark, d).groupBy("entity_type").agg(F.count_if(F.col("source") == "regex").alias("regex"), F.count_if(F.col("source") == "model").alias("model"), F.round(k / 2, 6).alias("coverage"), F.round(k / 2 * 1.5 * (1 + c), 8).alias("score"), F.concat_ws(",", F.when(k < 2, "single"), F.when(c < 0.75, "unsure")).alias("gaps"))
 
 
-@query("""with x as (select l.toxic as t, case when length(d.text) % 3 = 0 then 1 else 0 end as p from labels l join documents d using (doc_id)), c as (select unnest([0, 1]) as c), o as (select c, count_if(t = c) as s, count_if(p = c) as k, count_if(t = c and p = c) as h from c, x group by 1),
+@query("""with x as (select l.toxic as t, case when length(d.text) % 3 = 0 then 1 else 0 end as p from labels l join documents d using (doc_id)), c as (select unnest([0, 1]) as c), o as (select c, count_if(t = c)::bigint as s, count_if(p = c)::bigint as k, count_if(t = c and p = c)::bigint as h from c, x group by 1),
 q as (select *, case when k = 0 then 0 else h / k end as p, case when s = 0 then 0 else h / s end as r from o), f as (select *, case when p + r = 0 then 0 else 2 * p * r / (p + r) end as f from q) select round(sum(h) / sum(s), 6) as accuracy, round(sum(p * s) / sum(s), 6) as precision, round(sum(r * s) / sum(s), 6) as recall, round(sum(f * s) / sum(s), 6) as f1 from f""")
 def label_evaluation(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("toxic").alias("t"), F.when(F.length("text") % 3 == 0, 1).otherwise(0).alias("p"))

@@ -113,8 +113,8 @@ def limit_cache(spark, d):
     return limits.cache_reads(log(spark, d).select(F.col("user_id").alias("key"), "ts", "event_id"), 36_000.0).select("event_id", "hit")
 
 
-@query(f"with {LOG}, r as (select event_id, (epoch((select max(ts) from log)) - epoch(ts)) / 2000000 as s from log) select event_id, case when s >= 0.9 then 90 when s >= 0.75 then 75 when s >= 0.5 then 50 end as band from r")
+@query(f"with {LOG}, r as (select event_id, (epoch((select max(ts) from log)) - epoch(ts)) / 2000000 as s from log) select event_id, case when s >= 0.9 then 90 when s >= 0.75 then 75 when s >= 0.5 then 50 else 0 end as band from r")
 def limit_bands(spark, d):
     rows = log(spark, d)
     last = rows.agg(F.max("ts").alias("now"))
-    return limits.timeout_bands(rows.select("event_id", F.col("ts").alias("started")).join(F.broadcast(last)), 2_000_000.0).select("event_id", "band")
+    return limits.timeout_bands(rows.select("event_id", F.col("ts").alias("started")).join(F.broadcast(last)), 2_000_000.0).select("event_id", F.coalesce("band", F.lit(0)).alias("band"))

@@ -51,7 +51,7 @@ def record_legacy(spark, d):
     return standard(spark, d).select("doc_id", "k", R.legacy(F.col("e")).alias("l")).select("doc_id", "k", "l.id", "l.type", "l.text", "l.start", "l.end")
 
 
-@query(f"{_ENTITIES} select doc_id, count(*) as entity_count, round(avg(confidence), 6) as mean, round(max(confidence), 6) as best, count_if(length(text) <> end_pos - start_pos) as warned from s group by 1")
+@query(f"{_ENTITIES} select doc_id, count(*) as entity_count, round(avg(confidence), 6) as mean, round(max(confidence), 6) as best, count_if(length(text) <> end_pos - start_pos)::bigint as warned from s group by 1")
 def record_rollup(spark, d):
     s = standard(spark, d)
     return s.groupBy("doc_id").agg(F.count("*").alias("entity_count"), F.round(F.avg("e.confidence"), 6).alias("mean"), F.round(F.max("e.confidence"), 6).alias("best"), F.count_if(F.length("e.text") != F.col("e.end_pos") - F.col("e.start_pos")).alias("warned"))

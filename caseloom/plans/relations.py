@@ -66,7 +66,7 @@ def relation_reverse(spark, d):
     return both.groupBy("relation", "reverse").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("total"), F.min("src").alias("first_src"), F.max("tgt").alias("last_tgt"))
 
 
-@query(f"with {EDGES} select relation, count(*) as n, count(distinct (src, tgt)) as pairs, round(avg(confidence), 6) as mean, count_if(confidence >= 0.8) as high, count_if(confidence >= 0.6 and confidence < 0.8) as medium, count_if(confidence < 0.6) as low from e group by 1")
+@query(f"with {EDGES} select relation, count(*) as n, count(distinct (src, tgt)) as pairs, round(avg(confidence), 6) as mean, count_if(confidence >= 0.8)::bigint as high, count_if(confidence >= 0.6 and confidence < 0.8)::bigint as medium, count_if(confidence < 0.6)::bigint as low from e group by 1")
 def relation_statistics(spark, d):
     return relations.statistics(edges(spark, d)).withColumn("mean", F.round("mean", 6))
 

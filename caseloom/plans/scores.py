@@ -90,7 +90,7 @@ def relation_catalog(spark):
     return spark.createDataFrame(list(RELATIONS), "source string, target string, relation string, category string, confidence double, bidirectional boolean")
 
 
-@query(f"with {_REL} select category, count(*) as n, string_agg(distinct relation, ',' order by relation) as types, count_if(bidirectional) as bidirectional, round(avg(confidence), 3) as mean from r group by 1")
+@query(f"with {_REL} select category, count(*) as n, string_agg(distinct relation, ',' order by relation) as types, count_if(bidirectional)::bigint as bidirectional, round(avg(confidence), 3) as mean from r group by 1")
 def relation_catalog_categories(spark, d):
     return relation_catalog(spark).groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("relation")), ",").alias("types"), F.count_if("bidirectional").alias("bidirectional"), F.round(F.avg("confidence"), 3).alias("mean"))
 

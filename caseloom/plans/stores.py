@@ -39,7 +39,7 @@ def _stream(spark, d):
     return e.select("event_id", "ts", "user_id", "event_type", mode.alias("mode"), (F.col("value") * 100).alias("ms"), (F.col("event_type") != "error").alias("success"))
 
 
-@query("select time_bucket(interval 1 day, ts)::timestamp as start, ['local_only','local_with_remote_fallback','remote_with_local_fallback','remote_only','hybrid'][user_id % 5 + 1] as mode, count(*) as n, round(avg(value * 100), 6) as mean_ms, count_if(event_type = 'error') as failed from events group by 1, 2")
+@query("select time_bucket(interval 1 day, ts)::timestamp as start, ['local_only','local_with_remote_fallback','remote_with_local_fallback','remote_only','hybrid'][user_id % 5 + 1] as mode, count(*) as n, round(avg(value * 100), 6) as mean_ms, count_if(event_type = 'error')::bigint as failed from events group by 1, 2")
 def stream_daily(spark, d):
     out = O.run_once(O.windowed(_stream(spark, d), "mode", "1 day"), f"daily_{uuid.uuid4().hex}", "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "mode", "n", F.round("mean_ms", 6).alias("mean_ms"), "failed")
