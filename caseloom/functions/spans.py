@@ -15,16 +15,17 @@ def spans(text: Column, pattern: str) -> Column:
     compiled once a task; it must not match the empty string.
     """
     p = F.lit(pattern)
-    found, pieces = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
-    steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, x: F.struct(m.alias("m"), F.length(x).alias("gap")))
     none = F.array().cast(f"array<{SPAN}>")
+    # one more piece than matches: the last pair has no match; either list appears once, as nothing shares what functions of arrays hold
+    steps = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1), lambda m, x: F.struct(m.alias("m"), F.length(x).alias("gap")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         stop = start + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("text")))).alias("out"))
+        one = F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("text")))).alias("out"))
+        return F.when(x["m"].isNull(), acc).otherwise(one)
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(F.rlike(text, p), F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).when(text.isNotNull(), none)
 
 
 def window(text: Column, start: Column, stop: Column, before: int, after: int) -> Column:
