@@ -51,10 +51,10 @@ def mention_context(spark, d):
     return out.select("doc_id", "rank", "start", "context", window(F.col("t"), start, start, 50, 0).alias("before"), window(F.col("t"), stop, stop, 0, 50).alias("after"))
 
 
-@query(f"with {MENTIONS} select entity_type, count(*) as n, count(distinct doc_id) as docs, count(distinct name) as names, round(avg(confidence), 8) as mean, round(min(confidence), 8) as least, round(max(confidence), 8) as most, sum(case when confidence >= 0.9 then 1 else 0 end)::bigint as high, sum(case when confidence >= 0.7 and confidence < 0.9 then 1 else 0 end)::bigint as medium from m group by 1")
+@query(f"with {MENTIONS} select entity_type, count(*) as n, count(distinct doc_id) as docs, count(distinct name) as names, round(avg(confidence), 12) as mean, round(min(confidence), 8) as least, round(max(confidence), 8) as most, sum(case when confidence >= 0.9 then 1 else 0 end)::bigint as high, sum(case when confidence >= 0.7 and confidence < 0.9 then 1 else 0 end)::bigint as medium from m group by 1")
 def mention_counts(spark, d):
     c = F.col("confidence")
-    return found(spark, d).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("name").alias("names"), F.round(F.avg(c), 8).alias("mean"), F.round(F.min(c), 8).alias("least"), F.round(F.max(c), 8).alias("most"), F.count_if(c >= 0.9).alias("high"), F.count_if((c >= 0.7) & (c < 0.9)).alias("medium"))
+    return found(spark, d).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("name").alias("names"), F.round(F.avg(c), 12).alias("mean"), F.round(F.min(c), 8).alias("least"), F.round(F.max(c), 8).alias("most"), F.count_if(c >= 0.9).alias("high"), F.count_if((c >= 0.7) & (c < 0.9)).alias("medium"))
 
 
 _ISLAND = "i as (select *, sum(case when least(stop, ps) > greatest(start, pb) and pt = entity_type then 0 else 1 end) over (partition by doc_id order by start, stop, rank) as island from (select *, lag(stop) over w as ps, lag(start) over w as pb, lag(entity_type) over w as pt from m window w as (partition by doc_id order by start, stop, rank)))"
