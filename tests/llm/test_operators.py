@@ -350,6 +350,21 @@ def test_packing_round_trip(spark, tables, monkeypatch):
     assert stretches > 1 and len(sequences) <= sum(r.length for r in rows) / 256 + stretches
 
 
+def test_ids_are_those_of_tokenizers(spark):
+    """With its default setting, added tokens' contents and long white space included."""
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(packing.default_tokenizer())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} x", f"one\n\n{end}\n\ntwo", "<|endoftext|", "a" + " " * 99_999 + "b", "a" + " " * 100_000 + "b", "a" + "\n" * 1_100_000 + "b", "\u3000 \t" * 400_000, "é" * 200_000]
+    want = {i: [*tokens.encode(t, add_special_tokens=False).ids, packing.END] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 1]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.default_tokenizer(), with_ids=True).collect()
+    got = {i: [x for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start) for x in r.ids] for i in want}
+    assert all(got[i] == want[i] for i in want)
+    assert all(r.doc_tokens == len(want[r.doc_id]) for r in rows)
+
+
 def test_hilbert_neighbours_are_adjacent():
     import itertools
 
