@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +31,43 @@ def compatible(a: str, b: str) -> bool:
 
 def similarity(text: str, kind: str, entity: dict) -> float:
     """.4 for the most similar variant, .3 for the canonical form, .2 for one type, .1 for compatible ones."""
-    best = max(ratio(text, v) for v in entity["variants"])
+    best = 1.0 if text in entity["variants"] else max(ratio(text, v) for v in entity["variants"])
     return 0.4 * best + 0.3 * ratio(text, entity["canonical"]) + (0.3 if kind == entity["entity_type"] else 0.1 if compatible(kind, entity["entity_type"]) else 0.0)
 
 
+class _Kind:
+    """The entities of one type, and counts of the characters of their variants, which bound ratios from above."""
+
+    def __init__(self) -> None:
+        self.entities: list[dict] = []
+        self.first: list[int] = []  # the row of each entity's canonical form
+        self.rows = 0
+        self.counts, self.sizes, self.owner = np.zeros((16, 128), np.int32), np.zeros(16, np.int64), np.zeros(16, np.int64)
+
+    def add(self, text: str, into: dict) -> None:
+        """A variant of an entity; its first is the canonical form."""
+        if self.rows == len(self.sizes):
+            self.counts, self.sizes, self.owner = (np.concatenate((x, np.zeros_like(x))) for x in (self.counts, self.sizes, self.owner))
+        if not into["variants"]:
+            into["_at"] = len(self.entities)
+            self.entities.append(into)
+            self.first.append(self.rows)
+        self.counts[self.rows], self.sizes[self.rows], self.owner[self.rows] = _counts(text), len(text), into["_at"]
+        self.rows += 1
+
+    def near(self, text: str, threshold: float) -> list[dict]:
+        """All entities whose similarity may reach the threshold: no ratio is above that of the characters in common."""
+        n = self.rows
+        bound = np.minimum(self.counts[:n], _counts(text)).sum(axis=1) * 2.0 / np.maximum(self.sizes[:n] + len(text), 1)
+        best = np.zeros(len(self.entities))
+        np.maximum.at(best, self.owner[:n], bound)
+        return [self.entities[i] for i in np.flatnonzero(0.4 * best + 0.3 * bound[self.first] + 0.3 >= threshold)] if n else []
+
+
+def _counts(text: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") & 127, minlength=128)
+
+
 def resolve(found: DataFrame, threshold: float = SAME, chunk: int = 1000) -> DataFrame:
     """One row of each entity of a document: a mention, in order of start, joins the entity it is most similar to, or makes one.
 
@@ -43,24 +77,25 @@ def resolve(found: DataFrame, threshold: float = SAME, chunk: int = 1000) -> Dat
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         entities: list[dict] = []
         by_text: dict[tuple[str, str], dict] = {}
-        by_type: dict[str, list[dict]] = {}
+        by_type: dict[str, _Kind] = {}
         for r in rows.sort_values(["start", "rank"]).itertuples(index=False):
             text = r.text.strip().lower()
             into = by_text.get((r.entity_type, text))
-            if into is None:
-                near = [e for e in by_type.get(r.entity_type, ()) if abs(len(text) - len(e["canonical"])) <= 0.35 * max(len(text), len(e["canonical"]))]
+            if into is None or into["canonical"] != text:  # nothing is more similar than an equal canonical form
+                least = threshold if into is None else max(threshold, similarity(text, r.entity_type, into))
+                near = by_type[r.entity_type].near(text, least) if r.entity_type in by_type else ()
                 score, _, into = max(((similarity(text, r.entity_type, e), -e["entity"], e) for e in near), default=(0.0, 0, None), key=lambda x: x[:2])
                 into = into if score >= threshold else None
             if into is None:
                 into = {"entity": len(entities), "entity_type": r.entity_type, "canonical": text, "variants": [], "confidence": 0.0, "occurrences": 0, "first_start": r.start, "chunks": set()}
                 entities.append(into)
-                by_type.setdefault(r.entity_type, []).append(into)
             by_text[r.entity_type, text] = into
             n = into["occurrences"]
             into["confidence"] = (into["confidence"] * n + r.confidence) / (n + 1)
             into["occurrences"] = n + 1
             into["chunks"].add(int(r.start) // chunk)
             if text not in into["variants"]:
+                by_type.setdefault(r.entity_type, _Kind()).add(text, into)
                 into["variants"].append(text)
         out = [{**e, "doc_id": rows["doc_id"].iloc[0], "chunks": sorted(e["chunks"]), "variants": sorted(e["variants"])} for e in entities]
         return pd.DataFrame(out, columns=[c.split()[0] for c in ENTITIES.split(", ")])

@@ -1,6 +1,7 @@
 """Folds on small documents whose answers are known."""
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -20,6 +21,25 @@ def test_similar_mentions_are_one_entity(spark):
     assert {(r.text, r.n) for r in registry.fuzzy_clusters(m.filter("entity_type = 'PARTY'")).collect()} == {("Acme Holdings", 3), ("Zeta", 1)}
 
 
+def test_every_entity_of_a_type_is_compared(spark):
+    """A variant may carry a mention whose length is far from that of the canonical form; otherwise as by brute force."""
+    m = rows(spark, (0, "PARTY", "Jonathan S", 0.8), (50, "PARTY", "Jonathan Smith", 0.8), (100, "PARTY", "Jonathan Smithson", 0.8))
+    assert [(r.canonical, r.occurrences, r.variants) for r in registry.resolve(m).collect()] == [("jonathan s", 3, ["jonathan s", "jonathan smith", "jonathan smithson"])]
+    r = random.Random(5)
+    texts = ["".join(r.choice("abé𝒜") for _ in range(r.randint(0, 12))) for _ in range(300)]
+    for threshold in (0.85, 0.7):
+        entities = []
+        for t in texts:
+            score, _, e = max(((registry.similarity(t, "A", e), -e["entity"], e) for e in entities), default=(0, 0, None), key=lambda x: x[:2])
+            own = e if score >= threshold else None
+            if own is None:
+                own = {"entity": len(entities), "entity_type": "A", "canonical": t, "variants": []}
+                entities.append(own)
+            own["variants"] += [t] * (t not in own["variants"])
+        got = registry.resolve(rows(spark, *((i, "A", t, 0.8) for i, t in enumerate(texts))), threshold).collect()
+        assert {(x.entity, x.canonical, tuple(x.variants)) for x in got} == {(e["entity"], e["canonical"], tuple(sorted(e["variants"]))) for e in entities}
+
+
 def test_two_lists_and_overlaps(spark):
     a, b = rows(spark, (0, "A", "alpha beta", 0.6)), rows(spark, (0, "A", "alpha beta", 0.9), (2, "A", "pha", 0.9), (40, "A", "far", 0.1))
     assert [(r.text, r.confidence) for r in registry.merge_two(a, b).collect()] == [("alpha beta", 0.9), ("pha", 0.9), ("far", 0.1)]
