@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,stop:int,text:string>"
 
 
+#: Elements that a running sum takes one after another.
+STEP = 64
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: nothing shares what stands inside functions of arrays."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it, in two levels, so that no growing array is copied for each number."""
+
+    def sums(part: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, begin, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def cut(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STEP).cast("int")), lambda b: F.slice(all_, b * STEP + 1, STEP))
+        return let(blocks, lambda parts: F.flatten(F.zip_with(parts, sums(F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda t, x: t + x)), F.lit(0)), sums)))
+
+    return let(numbers, lambda all_: F.when(F.size(all_) == 0, F.array().cast("array<int>")).when(F.size(all_) <= STEP, sums(all_, F.lit(0))).otherwise(cut(all_)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array of (start, stop, text), in code points.
 
@@ -16,16 +39,11 @@ def spans(text: Column, pattern: str) -> Column:
     """
     p = F.lit(pattern)
     none = F.array().cast(f"array<{SPAN}>")
-    # one more piece than matches: the last pair has no match; either list appears once, as nothing shares what functions of arrays hold
-    steps = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1), lambda m, x: F.struct(m.alias("m"), F.length(x).alias("gap")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["m"])
-        one = F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("text")))).alias("out"))
-        return F.when(x["m"].isNull(), acc).otherwise(one)
-
-    return F.when(F.rlike(text, p), F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).when(text.isNotNull(), none)
+    # one more piece than matches: the last pair has no match and is cut off
+    pairs = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1), lambda m, x: F.struct(m.alias("m"), F.length(x).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("n")))
+    one = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("stop"), x["m"].alias("text"))
+    found = let(pairs, lambda all_: F.slice(F.zip_with(all_, running(F.transform(all_, lambda x: x["gap"] + x["n"])), one), 1, F.size(all_) - 1))
+    return F.when(F.rlike(text, p), found).when(text.isNotNull(), none)
 
 
 def window(text: Column, start: Column, stop: Column, before: int, after: int) -> Column:
