@@ -10,7 +10,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import load, remove, scratch, text_or_empty
+from ..functions.spans import let, running
+from .base import load, scratch, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -37,13 +38,26 @@ BASE_KINDS = ("assign", "access", "hex")
 VARIANTS = 64
 #: Documents to verify up to which their ids (16 bytes each in memory) are broadcast; beyond, texts are joined by id.
 BROADCAST_IDS = 500_000
+#: Trigrams of a mask.
+MASK_BITS = 62
+SPANS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
 # --- Boolean trigram queries of a pattern: a set of alternatives, each a set of trigrams that must all occur ---
 
 
-def _strings(items, fold: bool) -> tuple[set[str] | None, list[frozenset[str]]]:
-    """What a parsed sequence matches exactly (None: too much to list), and, if not listed, its alternatives of trigrams."""
+def _listed(ranges: list[tuple[int, int]]) -> set[str] | None:
+    """All members of a class in lower case; None if any isn't ASCII, whose case depends on where it stands."""
+    if any(last > 127 for _, last in ranges):
+        return None
+    return {chr(c).lower() for first, last in ranges for c in range(first, last + 1)}
+
+
+def _strings(items) -> tuple[set[str] | None, list[frozenset[str]]]:
+    """What a parsed sequence matches exactly (None: too much to list), and, if not listed, its alternatives of trigrams.
+
+    All is in lower case, so that one index serves patterns with and without regard to case.
+    """
     run, facts = {""}, []
 
     def close() -> None:
@@ -55,21 +69,22 @@ def _strings(items, fold: bool) -> tuple[set[str] | None, list[frozenset[str]]]:
         exact: set[str] | None = None
         inner: list[frozenset[str]] = [frozenset()]
         if op is rc.LITERAL:
-            exact = {chr(arg).lower() if fold else chr(arg)}
+            exact = _listed([(arg, arg)])
         elif op is rc.IN and not any(o is rc.NEGATE or o is rc.CATEGORY for o, _ in arg):
-            some = {chr(c) for o, a in arg for c in ([a] if o is rc.LITERAL else range(a[0], min(a[1], a[0] + VARIANTS) + 1))}
-            exact = {c.lower() for c in some} if fold else some
+            exact = _listed([(a, a) if o is rc.LITERAL else a for o, a in arg])
+        elif op is rc.AT:
+            exact = {""}
         elif op is rc.SUBPATTERN:
-            exact, inner = _strings(arg[3], fold)
+            exact, inner = _strings(arg[3])
         elif op is rc.BRANCH:
-            parts = [_strings(x, fold) for x in arg[1]]
+            parts = [_strings(x) for x in arg[1]]
             if all(p[0] is not None for p in parts):
                 exact = set().union(*(p[0] for p in parts))
             else:
                 inner = [x for p in parts for x in (_of_strings(p[0]) if p[0] is not None else p[1])]
         elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
             least, most, body = arg
-            one, inside = _strings(body, fold)
+            one, inside = _strings(body)
             if most == 1 and one is not None:
                 exact = one | {""} if least == 0 else one
             elif least >= 1 and one is not None and len(one) == 1 and least <= 64:
@@ -103,7 +118,7 @@ def _both(a: list[frozenset[str]], b: list[frozenset[str]]) -> list[frozenset[st
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Alternatives of trigrams, in lower case, one of which every match's lower-cased text holds. Empty: none are mandatory."""
-    exact, facts = _strings(_parser.parse(pattern), True)
+    exact, facts = _strings(_parser.parse(pattern))
     facts = _of_strings(exact) if exact is not None else facts
     return sorted(facts, key=sorted) if facts and all(facts) else []
 
@@ -118,16 +133,23 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     return docs.select("doc_id", low.alias("_low")).select("doc_id", F.explode(here).alias("trigram"))
 
 
-def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]], trigrams: list[str]) -> DataFrame:
-    """doc_id and the kinds whose query the postings of the id satisfy: an intersection by id, with partial masks."""
-    masks = index.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("mask"))
+def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]], trigrams: list[str]) -> DataFrame:
+    """doc_id and the numbers of the rules whose query the postings of the id satisfy: an intersection by id, with partial masks.
 
-    def holds(q: list[frozenset[str]]) -> Column:
-        bits = [sum(1 << trigrams.index(t) for t in need) for need in q]
-        return reduce(lambda a, b: a | b, [F.col("mask").bitwiseAND(F.lit(b)) == F.lit(b) for b in bits])
+    A mask holds MASK_BITS trigrams; there are as many masks as the trigrams need.
+    """
+    place = {t: divmod(n, MASK_BITS) for n, t in enumerate(trigrams)}
+    width = -(-len(trigrams) // MASK_BITS)
+    masks = index.groupBy("doc_id").agg(*[F.bit_or(F.when(F.floor(F.col("trigram") / MASK_BITS) == w, F.expr(f"shiftleft(1L, trigram % {MASK_BITS})")).otherwise(F.lit(0).cast("long"))).alias(f"mask{w}") for w in range(width)])
+
+    def needs(need: frozenset[str]) -> Column:
+        bits = [0] * width
+        for t in need:
+            bits[place[t][0]] |= 1 << place[t][1]
+        return reduce(lambda a, b: a & b, [F.col(f"mask{w}").bitwiseAND(F.lit(b)) == F.lit(b) for w, b in enumerate(bits) if b])
 
-    kinds = F.array_compact(F.array(*[F.when(holds(q), F.lit(kind)) for kind, q in queries.items()]))
-    return masks.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    held = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, map(needs, q)), F.lit(rule)) for rule, q in queries.items()]))
+    return masks.select("doc_id", held.alias("rules")).filter(F.size("rules") > 0)
 
 
 # --- verification ---
@@ -136,34 +158,31 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]], trigr
 def found(text: Column, rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches that stay: array of (start, rank, stop, kind), in code points, without a Python function.
 
-    A match's start is the length of all pieces between matches, and of all matches, before it.
+    A match's start is the length of all pieces between matches, and of all matches, before it: a running sum.
     """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     asked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(F.zip_with(whole, asked, lambda w, a: F.struct(F.length(w).alias("w"), F.length(a).alias("a"))), F.slice(pieces, 1, F.size(whole)), lambda x, p: F.struct(F.length(p).alias("p"), x["w"].alias("w"), x["a"].alias("a")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["p"]
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["w"]).alias("stop"), F.lit(rule.kind).alias("kind")))
-        return F.struct((start + x["w"]).alias("at"), F.when(x["a"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
-    return F.when(F.rlike(text, pattern), F.aggregate(steps, begin, step, lambda acc: acc["out"])).otherwise(none)
+    matches = F.zip_with(whole, asked, lambda w, a: F.struct(F.length(w).alias("w"), F.length(a).alias("a")))
+    # one more piece than matches: the last pair has no match and is cut off
+    steps = F.zip_with(matches, F.split(text, pattern, -1), lambda x, p: F.struct(F.length(p).alias("p"), F.coalesce(x["w"], F.lit(0)).alias("w"), x["a"].alias("a")))
+    one = lambda x, at: F.struct((at + x["p"]).alias("start"), F.lit(rank).alias("rank"), (at + x["p"] + x["w"]).alias("stop"), F.lit(rule.kind).alias("kind"), x["a"].alias("a"))
+    placed = let(steps, lambda all_: F.slice(F.zip_with(all_, running(F.transform(all_, lambda x: x["p"] + x["w"])), one), 1, F.size(all_) - 1))
+    kept = F.transform(F.filter(placed, lambda m: m["a"] >= rule.least), lambda m: m.dropFields("a"))
+    return F.when(F.rlike(text, pattern), kept).otherwise(F.array().cast(SPANS))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and spans (array of start, rank, stop, kind, by start and rank) of each row of docs (doc_id, text).
 
-    Rules with mandatory trigrams are verified on the rows that the index gives, the others on every row. An id that
-    several rows share is a candidate in all of them. Null texts are empty; null ids are always verified.
+    Patterns mean what they mean in Java, whose (?i) is about ASCII letters. Rules with mandatory trigrams are verified
+    on the rows that the index gives, the others on every row; there may be any number of rules. Each row has its own
+    result: repeated rows have equal ones, and an id that several rows share is a candidate in all of them. Null and
+    empty texts have no spans; null ids are always verified; an empty table gives an empty one; texts are searched whole,
+    at a cost that grows with their length; other columns of docs, whatever their names, are neither read nor returned.
     """
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
+    queries = {n: q for n, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for need in q for t in need})
-    if len(trigrams) > 62:
-        raise ValueError("more trigrams than a mask holds: give fewer rules at once")
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     if not queries:
         return docs.select("doc_id", F.array_sort(F.concat(*[found(F.col("text"), r, n) for n, r in enumerate(rules)])).alias("spans"))
@@ -171,8 +190,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if some.count() <= BROADCAST_IDS:
         some = F.broadcast(some)
     joined = docs.join(some, docs["doc_id"] == some["_id"], "left")
-    text, none = F.col("text"), F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
-    each = [F.when(F.array_contains("kinds", r.kind) | F.col("doc_id").isNull(), found(text, r, n)).otherwise(none) if r.kind in queries else found(text, r, n) for n, r in enumerate(rules)]
+    text, none = F.col("text"), F.array().cast(SPANS)
+    each = [F.when(F.array_contains("rules", n) | F.col("doc_id").isNull(), found(text, r, n)).otherwise(none) if n in queries else found(text, r, n) for n, r in enumerate(rules)]
     return joined.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
 
 

@@ -235,6 +235,47 @@ def test_secret_spans_are_those_of_finditer(spark, tables):
         assert [x for x in got[i] if x[0] in base] == [(k, a, b) for a, _, k, b in sorted(want)]
 
 
+def test_ranges_are_whole_or_not_listed():
+    assert secrets.trigram_query("[A-ÿ]bcd") == [frozenset({"bcd"})] and all("abc" in need for need in secrets.trigram_query("[0-z]abc"))
+    assert secrets.trigram_query("^ab[cC]$") == [frozenset({"abc"})] and secrets.trigram_query("abΣ") == []
+    docs = "doc_id long, text string"
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rules = (secrets.Rule("a", "[A-ÿ]bcd"), secrets.Rule("a", "[0-z]abc"), secrets.Rule("c", "abΣ"))
+    rows = secrets.find_secrets(spark.createDataFrame([(0, "x ébcd y"), (1, "zabc"), (2, "abΣ abΣx")], docs), rules).collect()
+    assert {r.doc_id: [(s.rank, s.start, s.stop) for s in r.spans] for r in rows} == {0: [(0, 2, 6)], 1: [(1, 0, 4)], 2: [(2, 0, 3), (2, 4, 7)]}
+
+
+def test_random_rules_find_what_finditer_finds(spark):
+    import random
+
+    r = random.Random(7)
+
+    def part(deep=0):
+        k = r.random()
+        if k < 0.55 or deep > 2:
+            return "".join(r.choice("abcXY12") for _ in range(r.randint(1, 4)))
+        if k < 0.7:
+            return r.choice(["[a-c]", "[A-Z]", "[0-9a-f]", "[^a]", ".", "[ -~]"]) + r.choice(["", "", "+", "{2}", "?"])
+        if k < 0.85:
+            return "(?:" + "|".join(part(deep + 1) + part(deep + 1) for _ in range(2)) + ")" + r.choice(["", "?", "{1,2}"])
+        return "(?i:" + part(deep + 1) + ")"
+
+    patterns = []
+    while len(patterns) < 300:
+        p = "".join(part() for _ in range(r.randint(1, 4)))
+        if not re.match(p + r"\Z", ""):
+            patterns.append(p)
+    texts = ["".join(r.choice("abcXYxy12 ABC") for _ in range(r.randint(0, 300))) for _ in range(12)] + ["abc12" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for some in (patterns[:200], *(patterns[k : k + 50] for k in (200, 250))):
+        got = {x.doc_id: [(s.rank, s.start, s.stop) for s in x.spans] for x in secrets.find_secrets(docs, tuple(secrets.Rule(f"k{n % 7}", p) for n, p in enumerate(some))).collect()}
+        for i, t in enumerate(texts):
+            want = sorted(((m.start(), n, m.end()) for n, p in enumerate(some) for m in re.finditer(p, t)), key=lambda x: x[:2])
+            assert got[i] == [(n, a, b) for a, n, b in want]
+
+
 # --- 5 ---
 
 
