@@ -13,13 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .base import load, remove, scratch, scratch_path, small_batches
 
-#: Bytes of an archive before compression, about; archives in one Arrow batch. An archive is parsed as a whole.
-ARCHIVE_BYTES, ARCHIVES_AT_ONCE = 32 << 20, 4
-#: Bytes of records that a Python batch gives back.
-OUT_BYTES = 4 << 20
+#: Payload bytes of an archive before compression, at most unless one page has more. An archive is parsed as a whole.
+ARCHIVE_BYTES = 32 << 20
+#: What stands after a WARC record.
+RECORD_END = b"\r\n\r\n"
 
 # Fixed values of the formats.
 FIELDS = {
@@ -36,9 +35,9 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _few_archives(spark: SparkSession) -> None:
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARCHIVES_AT_ONCE))
+def _written(archives: DataFrame, path: str, line_end: str) -> None:
+    """Writes rows (value binary), each as one gzipped file of its bytes and a line end."""
+    archives.select(F.col("value").cast("string")).write.options(compression="gzip", lineSep=line_end, maxRecordsPerFile=1, **LEVEL).text(path)
 
 
 # --- pages to ARC ---
@@ -48,45 +47,47 @@ def write_arcs(pages: DataFrame, path: str) -> None:
     """Writes pages (page_id, url, html) as gzipped ARC files of version 1 and 2 in turn, each beginning with its file description.
 
     A page is an HTTP response that carries its page_id in a header; null html is an empty payload, a null url "-",
-    white space in a url is escaped. Pages aren't shuffled; a file ends after so many records that it has some
-    ARCHIVE_BYTES on average.
+    white space in a url is escaped. Pages aren't shuffled; a file ends before it would pass ARCHIVE_BYTES, so only a page
+    of more than that makes a larger one, of its own.
     """
     small_batches(pages.sparkSession)
-    html = F.coalesce("html", F.lit(""))
-    mean = pages.agg(F.avg(F.octet_length(html)).alias("m")).first().m or 0
-    per_file = max(2, int(ARCHIVE_BYTES / (mean + 400)))
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, version = 0, 1
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, size, out, version = 0, 0, [], 1
         for batch in batches:
-            out = []
             for page, url, body, own in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "part")), strict=True):
-                if n % per_file == 0:
-                    version = 1 + (own + n // per_file) % 2
-                    told = f"{version} 0 synthetic\n{' '.join(FIELDS[version])}\n"
-                    out.append(arc_record(version, f"filedesc://{own}-{n}.arc", "text/plain", "0", told))
-                    n += 1
                 payload = body.encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(payload)}\r\n\r\n"
-                out.append(arc_record(version, re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or "") or "-", "text/html", "200", head + body))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+                if out and size + len(payload) > ARCHIVE_BYTES:
+                    yield _batch([b"\n".join(out)])
+                    out = []
+                if not out:
+                    n, size, version = n + 1, 0, 1 + (own + n) % 2
+                    told = f"{version} 0 synthetic\n{' '.join(FIELDS[version])}\n".encode()
+                    out.append(arc_record(version, f"filedesc://{own}-{n}.arc", "text/plain", "0", told))
+                out.append(arc_record(version, re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or "") or "-", "text/html", "200", head + payload))
+                size += len(out[-1])
+        if out:
+            yield _batch([b"\n".join(out)])
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"), F.spark_partition_id().alias("part"))
+    _written(rows.mapInArrow(archives, "value binary"), path, "\n")
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.spark_partition_id().alias("part"))
-    rows.mapInArrow(records, "value string").write.options(compression="gzip", lineSep="\n", maxRecordsPerFile=per_file, **LEVEL).text(path)
 
+def _batch(values: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
 
-def arc_record(version: int, url: str, kind: str, status: str, content: str) -> str:
-    size = len(content.encode())
-    if version == 1:
-        return f"{url} 0.0.0.0 20240101000000 {kind} {size}\n{content}"
-    return f"{url} 0.0.0.0 20240101000000 {kind} {status} {sha1(content.encode())} - 0 - {size}\n{content}"
+
+def arc_record(version: int, url: str, kind: str, status: str, content: bytes) -> bytes:
+    more = "" if version == 1 else f"{status} {sha1(content)} - 0 - "
+    return f"{url} 0.0.0.0 20240101000000 {kind} {more}{len(content)}\n".encode() + content
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields, content) of each record but file descriptions, which tell the version of those that follow.
 
-    Content is what the declared length says, whatever it holds. Raises ValueError where no header line is found.
+    Content is what the declared length says, whatever it holds. Raises ValueError where no header line is found, and
+    where less content is left than declared.
     """
     at, version = 0, None
     while at < len(data):
@@ -103,6 +104,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             raise ValueError(f"no ARC header of version {version} at byte {at}")
         fields = dict(zip(names[1:], parts[-len(names) + 1 :], strict=True)) | {"URL": " ".join(parts[: len(parts) - len(names) + 1])}
         content = data[end + 1 : end + 1 + int(fields["Archive-length"])]
+        if len(content) < int(fields["Archive-length"]):
+            raise ValueError(f"the ARC record at byte {at} is cut short: {len(content)} of {fields['Archive-length']} bytes")
         if line.startswith("filedesc://"):
             words = content.split(b"\n", 1)[0].split(b" ")
             version = int(words[0]) if words[0] in (b"1", b"2") else version
@@ -163,9 +166,10 @@ def convert(spark: SparkSession, arcs: str, warcs: str, least: int = 0) -> None:
 
     Of records whose payloads of at least so many bytes are equal (SHA-1, length and a second hash), that with the
     largest page_id, then archive and offset, becomes the response; the others become revisits that refer to it.
-    Digests alone are grouped, pre-aggregated; what an archive's records become goes to it as one row.
+    Digests alone are grouped, pre-aggregated; what an archive's records become goes to it as one row. An archive becomes
+    one WARC file, or several where it is large.
     """
-    _few_archives(spark)
+    small_batches(spark)
     archives = _archives(spark, arcs)
     seen = scratch(arc_digests(archives), "digests")
     same = ["digest", "bytes", "check"]
@@ -177,26 +181,24 @@ def convert(spark: SparkSession, arcs: str, warcs: str, least: int = 0) -> None:
         for batch in batches:
             for path, content, revisits in zip(*(batch[c].to_pylist() for c in ("path", "content", "revisits")), strict=True):
                 to = {r["at"]: record_id(r["path"], r["to"]) for r in revisits or ()}
-                out, size = [warc_record("warcinfo", record_id(path, 0), "19700101000000", f"Content-Type: application/warc-fields\r\nWARC-Filename: {path.rsplit('/', 1)[-1]}\r\n", b"format: WARC File Format 1.1\r\n")], 0
+                head = warc_record("warcinfo", record_id(path, 0), "19700101000000", f"Content-Type: application/warc-fields\r\nWARC-Filename: {path.rsplit('/', 1)[-1]}\r\n", b"format: WARC File Format 1.1\r\n")
+                out, size = [head], 0
                 for at, fields, whole in parse_arc(_unzipped(content)):
+                    if size and size + len(whole) > ARCHIVE_BYTES:
+                        yield _batch([RECORD_END.join(out)])
+                        out, size = [head], 0
                     out.append(from_arc(record_id(path, at), fields, whole, to.get(at)))
                     size += len(out[-1])
-                    if size > OUT_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-                        out, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                yield _batch([RECORD_END.join(out)])
 
     joined = archives.join(told, F.col("path") == F.col("of"), "left").select("path", "content", "revisits")
-    joined.mapInArrow(turn, "value string").write.options(compression="gzip", lineSep="\r\n\r\n", **LEVEL).text(warcs)
+    _written(joined.mapInArrow(turn, "value binary"), warcs, RECORD_END.decode())
     remove(seen)
     remove(best)
 
 
-def from_arc(own: str, fields: dict[str, str], whole: bytes, refers: str | None) -> str:
-    """The WARC record of an ARC record: response if it is HTTP, else resource; a revisit keeps HTTP headers alone.
-
-    Content that is not UTF-8 is stored as its Latin-1 characters, which the text writer needs, and says so.
-    """
+def from_arc(own: str, fields: dict[str, str], whole: bytes, refers: str | None) -> bytes:
+    """The WARC record of an ARC record: response if it is HTTP, else resource; a revisit keeps HTTP headers alone. Blocks are the bytes that were there."""
     head, _, payload = http_parts(whole)
     kind = "revisit" if refers else "response" if head else "resource"
     more = f"WARC-Target-URI: {fields['URL']}\r\nWARC-IP-Address: {fields['IP-address']}\r\nWARC-Payload-Digest: sha1:{sha1(payload)}\r\nContent-Type: {'application/http; msgtype=response' if head else fields['Content-type']}\r\n"
@@ -205,28 +207,26 @@ def from_arc(own: str, fields: dict[str, str], whole: bytes, refers: str | None)
     return warc_record(kind, own, fields["Archive-date"], more, head if refers else whole)
 
 
-def warc_record(kind: str, own: str, date: str, more: str, block: bytes) -> str:
+def warc_record(kind: str, own: str, date: str, more: str, block: bytes) -> bytes:
     d = (date + "00000000000000")[:14]
-    try:
-        text, size = block.decode(), len(block)
-    except UnicodeDecodeError:
-        text = block.decode("latin-1")
-        more, size = more + "X-Block-Encoding: latin-1\r\n", len(text.encode())
-    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{own}>\r\nWARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z\r\nWARC-Block-Digest: sha1:{sha1(block)}\r\n{more}Content-Length: {size}\r\n\r\n{text}"
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{own}>\r\nWARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z\r\nWARC-Block-Digest: sha1:{sha1(block)}\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block
 
 
 # --- WARC read back ---
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-cased name, block) of each record."""
+    """(header fields by lower-cased name, block) of each record. Raises ValueError where a block is shorter than its Content-Length."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         cut = data.index(b"\r\n\r\n", at)
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:cut].decode().split("\r\n")[1:])}
         end = cut + 4 + int(fields["content-length"])
         block = data[cut + 4 : end]
-        yield fields, block.decode().encode("latin-1") if fields.get("x-block-encoding") else block
+        if len(block) < int(fields["content-length"]):
+            raise ValueError(f"the WARC record at byte {at} is cut short")
+        yield fields, block
         at = end
 
 
@@ -235,7 +235,7 @@ def read_warcs(spark: SparkSession, path: str, payloads: bool = False) -> DataFr
 
     The digest of what has a payload is computed anew, and must be the one that the record states.
     """
-    _few_archives(spark)
+    small_batches(spark)
     names = ["record_id", "record_type", "refers_to", "page_id", "payload_bytes", "payload_digest", *["payload"] * payloads]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * payloads]
 
