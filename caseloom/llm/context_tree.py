@@ -20,12 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import id_crc, load, mixed, scratch, small_batches, text_or_empty, word_hashes, words
+from .base import id_crc, load, mixed, remove, scratch, small_batches, text_or_empty, word_hashes, words
 
 #: Bytes of the longest context.
 DEPTH = 6
 #: Bytes of texts in a block, about (a longer text is a block of its own); distinct keys of a bucket, about.
 BLOCK, BUCKET_KEYS = 8 << 20, 1 << 20
+#: Buckets at most: there are so many pairs of last bytes.
+MOST_BUCKETS = 1 << 16
 #: What ends a word and a text, as tokens of the model.
 SPACE, END = b"\x20", b"\x0a"
 GRAMS, WORDS = 0, 1
@@ -163,12 +165,6 @@ def unpacked_planes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(unpacked(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def short(a: np.ndarray) -> np.ndarray:
-    """32-bit floats with mantissas rounded to 16 bits: four parts in a million, a byte less to send."""
-    bits = np.ascontiguousarray(a, np.float32).view(np.uint32)
-    return ((bits + np.uint32(0x40)) & np.uint32(0xFFFFFF80)).view(np.float32)
-
-
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane."""
     steps = np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8)
@@ -300,7 +296,7 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_or_empty()) + 2)).first()[0] or 0
-    buckets = int(max(24, min(4096, -(-size // (BUCKET_KEYS * 8)))))
+    buckets = int(max(24, min(MOST_BUCKETS, -(-size // (BUCKET_KEYS * 8)))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flags, texts, total, n = [], [], [], 0, 0
@@ -350,6 +346,8 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
         return pa.Table.from_pylist(rows, schema=MET)
 
     met = scratch(asked.groupBy("kind", "bucket").applyInArrow(meet, "kind int, bucket int, keys binary, n binary, part array<int>, block array<int>, places array<binary>, byte int, place int, ones double, total double, mixture double"), "met")
+    for kind in (GRAMS, WORDS):  # the requests are answered from met alone
+        remove(f"{made.scratch_path}/kind={kind}", spark)
     found = met.filter("byte is not null").groupBy("byte", "place").agg(*[F.sum(c).alias(c) for c in ("ones", "total", "mixture")]).toArrow()
     whole, n_tokens, n_types = np.zeros((256, 256, 3)), 0, 0
     for x, y, *v in zip(*(found[c].to_pylist() for c in ("byte", "place", "ones", "total", "mixture")), strict=True):
@@ -362,7 +360,7 @@ def score_texts(docs: DataFrame, training) -> tuple[DataFrame, int, int]:
     def answers(table: pa.Table) -> pa.Table:
         own = table.to_pylist()[0]
         keys, n = unpacked_keys(own["keys"]), unpacked(own["n"], np.int64)
-        value = n if own["kind"] == WORDS else short(Subtrees(keys, n).log_probabilities(top.value))
+        value = n if own["kind"] == WORDS else Subtrees(keys, n).log_probabilities(top.value).astype(np.float32)
         out = [packed_planes(value[unpacked_keys(p).astype(np.int64)]) for p in own["places"]]
         return pa.table({"part": own["part"], "block": own["block"], "kind": [own["kind"]] * len(out), "bucket": [own["bucket"]] * len(out), "v": out}, schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("v", pa.binary())]))
 
