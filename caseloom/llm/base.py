@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-#: Rows in one Arrow batch sent to Python: texts of 100 KB then stay under some 30 MB a batch.
-ARROW_ROWS = 256
+#: Rows and bytes in one Arrow batch sent to Python, whichever comes first; a longer text is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
+#: Ids up to which those of rows that go are broadcast (some 100 MB as a hashed relation); beyond, rows are joined by id.
+BROADCAST_IDS = 2_000_000
 #: UTF-8 bytes of texts that numpy works on at once; a single longer text is a block of its own.
 BLOCK_BYTES = 1 << 18
 
@@ -26,6 +28,15 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of texts, and sends workers this package; called by every operator that hands texts to Python."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or where df has a column of it (in any case), name with as many underscores after it as make it new."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +53,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables that are still there, in the order they were made.
+_OPEN: list[str] = []
+
+
+def opened() -> int:
+    """A mark for sweep."""
+    return len(_OPEN)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the scratch tables made since a mark, but one to keep; for when all that reads them is written."""
+    for path in _OPEN[since:]:
+        if keep is None or path != keep.scratch_path:
+            remove(path, spark)
+
+
 def scratch(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns the table: lineage ends here, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
+    _OPEN.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -58,6 +86,14 @@ def remove(df: DataFrame | str, spark: SparkSession | None = None) -> None:
     spark = spark or df.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _OPEN:
+        _OPEN.remove(path)
+
+
+def without_ids(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in lost (one column), with their columns. Rows of docs move only if lost is too large to broadcast."""
+    kept = scratch(lost.filter(F.col(lost.columns[0]).isNotNull()).distinct(), "lost")
+    return docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, docs["doc_id"] == kept[kept.columns[0]], "left_anti")
 
 
 def id_crc(doc_id: str = "doc_id") -> Column:

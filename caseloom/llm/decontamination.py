@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import MARKS, blocks, load, small_batches, text_or_empty, texts_of, word_hashes, words
+from .base import MARKS, blocks, fresh, load, small_batches, text_or_empty, texts_of, word_hashes, words
 
 #: Consecutive words that count as a passage of an item; shorter items count as a whole.
 WINDOW = 10
@@ -17,6 +17,8 @@ WINDOW = 10
 AUTOMATON_BYTES = 8 << 20
 #: Share of a document's words in passages from which the document goes, instead of its passages.
 COVERAGE = 0.5
+#: Names of the columns that tell of passages.
+NAMES = ("_words", "_spans", "_items")
 
 
 class SuffixAutomaton:
@@ -142,16 +144,21 @@ def automata(benchmark: DataFrame, window: int) -> Iterator[SuffixAutomaton]:
         yield SuffixAutomaton([(r.item or "", hashes[first[i] : first[i + 1]]) for i, r in enumerate(rows)], window)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """docs with _words (count), _spans (flat first, last+1 words of passages) and _items (sorted ids) for each row.
 
+    names: of the three new columns, which docs must not have (base.fresh gives such names).
+
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. Null and empty texts have none. Each
     row is judged on its own, so repeated rows and ids are no matter; items without words match nothing; an empty
     benchmark marks nothing. Nothing is shuffled: texts stream past the broadcast automata.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column named as one of {names}: give other names")
+    w, s, t = names
+    out = docs.withColumns({w: F.lit(0).cast("long"), s: F.array().cast("array<long>"), t: F.array().cast("array<string>")})
     schema = out.schema
     for one in automata(benchmark, window):
         shared = spark.sparkContext.broadcast(one)
@@ -160,7 +167,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             automaton = shared.value
             for batch in batches:
                 data, ends = texts_of(batch["text"])
-                n_words, spans, items = np.zeros(batch.num_rows, np.int64), batch["_spans"].to_pylist(), batch["_items"].to_pylist()
+                n_words, spans, items = np.zeros(batch.num_rows, np.int64), batch[s].to_pylist(), batch[t].to_pylist()
                 for i, j in blocks(ends):
                     part, own = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
                     starts, stops, first = words(part, own, MARKS)
@@ -179,7 +186,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                                     spans[i + row] = spans[i + row] + [x + at for span in merged(got) for x in span]
                                     items[i + row] = sorted({*items[i + row], *names})
                             a, row = stop, row + 1
-                keep = {"_words": pa.array(n_words), "_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.string()))}
+                keep = {w: pa.array(n_words), s: pa.array(spans, pa.list_(pa.int64())), t: pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([keep[name] if name in keep else batch[k] for k, name in enumerate(batch.schema.names)], batch.schema.names)
 
         out = out.mapInArrow(mark, schema)
@@ -192,9 +199,14 @@ def pairs(flat: list[int]) -> list[tuple[int, int]]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs without the passages of the benchmark: a document goes if they hold that share of its words or more,
-    else they are cut out of its text (with what stands between their words), and n_chars, if there, follows."""
+    else they are cut out of its text (with what stands between their words), and n_chars, if there, follows.
+
+    Null and empty texts, and those without passages, stay as they are. Each row is judged on its own, so ids, ties and
+    repeated rows are no matter; an empty table stays empty. Other columns are unchanged, whatever their names.
+    """
     small_batches(docs.sparkSession)
-    marked = find_passages(docs, benchmark, window)
+    new_names = [fresh(docs, n) for n in NAMES]
+    marked = find_passages(docs, benchmark, window, tuple(new_names))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
             data, ends = texts_of(batch["text"])
             text, keep = batch["text"].to_pylist(), np.ones(batch.num_rows, bool)
             chars = batch["n_chars"].to_pylist() if "n_chars" in names else None
-            for row, flat in enumerate(batch["_spans"].to_pylist()):
+            for row, flat in enumerate(batch[new_names[1]].to_pylist()):
                 if not flat:
                     continue
                 spans, own = pairs(flat), data[ends[row] : ends[row + 1]]
@@ -218,8 +230,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                 if chars is not None:
                     chars[row] = len(text[row])
             new = {"text": lambda: pa.array(text, batch["text"].type), "n_chars": lambda: pa.array(chars, batch["n_chars"].type)}
-            columns = [(new[n]() if n in new else batch[k]) for k, n in enumerate(names) if n not in ("_words", "_spans", "_items")]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n not in ("_words", "_spans", "_items")]).filter(pa.array(keep))
+            columns = [(new[n]() if n in new else batch[k]) for k, n in enumerate(names) if n not in new_names]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n not in new_names]).filter(pa.array(keep))
 
     return marked.mapInArrow(cut, docs.schema)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import load, remove, scratch, text_or_empty
+from .base import fresh, load, remove, scratch, text_or_empty, without_ids
 
-#: Characters of a chunk at least and at most; between them it ends after the first space that follows one of the marks.
-LEAST, MOST, ENDS = 256, 2048, "aeimnrt.,"
+#: Characters of a chunk at least and at most; between them it ends after the first space that follows one of the marks, or,
+#: where there is none, after the first of some characters that occur in texts without such spaces.
+LEAST, MOST, ENDS, OTHERS = 256, 2048, "aeimnrt.,", "q3;。、，のはをに的了是은는이"
 
 
 def normal(text: Column) -> Column:
@@ -18,7 +19,7 @@ def normal(text: Column) -> Column:
 
 def chunks(text: Column) -> Column:
     """Chunks whose ends depend on nearby characters alone: equal passages fall into equal chunks soon after their start."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{LEAST},{MOST}}}?[{ENDS}]\x20|.{{1,{MOST}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{LEAST},{MOST}}}?[{ENDS}]\x20|.{{{LEAST},{MOST}}}?[{OTHERS}]|.{{1,{MOST}}}"), F.lit(0))
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -57,11 +58,22 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that are alike in id and text count as copies too."""
-    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_own", F.sha2(normal(text_or_empty()).cast("binary"), 256))
-    joined = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_keep"]) & (marked["_own"] == stay["_sha"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_own"]).select(*[marked[c] for c in docs.columns])
+    """The rows of docs that stay (see exact_groups), with all their columns, whatever these are named, unchanged.
+
+    Only ids are looked up: the texts of rows stay where they are, unless over BROADCAST_IDS rows go. Rows that are alike
+    in id and text count as copies too; one of them stays. Where several rows share an id, or have none, the text
+    decides with it. Null texts are empty texts; an empty table stays empty.
+    """
+    groups = scratch(exact_groups(docs).select("doc_id", "kept", "text_sha256"), "groups")
+    several = scratch(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("several")), "several")
+    plain = without_ids(docs, groups.filter("not kept").select("doc_id").unionByName(several.select(F.col("several").alias("doc_id"))))
+    if several.isEmpty():
+        return plain
+    sha = fresh(docs, "_sha")
+    rest = docs.join(several, docs["doc_id"].eqNullSafe(several["several"]), "left_semi").withColumn(sha, F.sha2(normal(text_or_empty()).cast("binary"), 256))
+    stay = groups.filter("kept").select(F.col("doc_id").alias("stay"), F.col("text_sha256").alias("stay_sha"))
+    rest = rest.join(stay, rest["doc_id"].eqNullSafe(stay["stay"]) & (rest[sha] == stay["stay_sha"]), "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
+    return plain.filter(F.col("doc_id").isNotNull()).union(rest)
 
 
 def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import constants, each, hashed_rows, load, mixed, remove, scratch, small_batches
+from .base import constants, each, hashed_rows, load, mixed, remove, scratch, small_batches, without_ids
 from .components import components
 
 #: A signature has PARTS parts of SYMBOLS minima of 32 bits. Signatures that differ in at most PARTS * (ERRORS + 1) - 1
@@ -184,9 +184,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which each group of near-duplicates keeps the smallest id, with all their columns."""
-    stay = near_groups(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_keep"]), "left_semi")
+    """The rows of docs of which each group of near-duplicates (see near_groups) keeps the smallest id, with all their columns.
+
+    Null and empty texts, texts without words and null ids stay; all rows of an id stay or go together; an empty table
+    stays empty. Columns are unchanged, whatever their names. Texts move only if over BROADCAST_IDS ids go.
+    """
+    return without_ids(docs, near_groups(docs, width, percent).filter("not kept").select("doc_id"))
 
 
 def op2_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import blocks, id_crc, load, small_batches, texts_of
+from .base import blocks, fresh, id_crc, load, small_batches, texts_of
 from .learning import adam, labelled_sample, sigmoid
 
 #: Numbers that stand for a byte; bytes under a filter; filters; bytes of a chunk; bytes that neighbouring chunks share.
@@ -140,9 +140,15 @@ def train(texts: pa.Array, y: np.ndarray, shift: float) -> Network:
 
 
 def score_documents(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
-    """docs with a score of 0 to 1 for each whole text; null and empty texts get the network's bias alone."""
+    """docs with a score of 0 to 1 for each whole text, in `column`, or a fresh name like it where docs has one (see base.fresh).
+
+    Null and empty texts get the network's bias alone; texts shorter than a filter are filled up with zeros. Each row is
+    scored on its own, so ids, ties and repeated rows are no matter; long texts go in pieces; an empty table stays empty.
+    The other columns are unchanged, whatever their names.
+    """
     spark = docs.sparkSession
     small_batches(spark)
+    column = fresh(docs, column)
     shared = spark.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import _LOWER, blocks, id_crc, load, small_batches, texts_of
+from .base import _LOWER, blocks, fresh, id_crc, load, small_batches, texts_of
 from .learning import adam, labelled_sample, sigmoid
 
-#: Lengths of n-grams in bytes of lower-cased (A-Z) UTF-8; hash bits; n-grams that get a weight.
+#: Lengths of n-grams in characters, A-Z as a-z; hash bits; n-grams that get a weight.
 LENGTHS, BITS, FEATURES = (4, 6, 8), 22, 1 << 11  # under 2^15
 #: Labelled rows of each class to learn from, at most.
 SAMPLE = 2500
@@ -29,16 +29,32 @@ class Model:
     bias: float
 
 
+def characters(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of UTF-8 texts (its bytes), A-Z as a-z, and where rows begin among them."""
+    low = _LOWER[data]
+    if not (low & 0x80).any():
+        return low.astype(np.uint64), ends
+    lead = (low & 0xC0) != 0x80
+    lead[ends[:-1][ends[:-1] < len(low)]] = True
+    at = np.flatnonzero(lead)
+    size = np.diff(at, append=len(low))
+    out = low[at].astype(np.uint64)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        out[more] |= low[at[more] + k].astype(np.uint64) << _U(8 * k)
+    return out, np.searchsorted(at, ends)
+
+
 def grams(data: np.ndarray, ends: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash or feature) of the distinct n-grams of each row; with number, only those that are features."""
-    low = _LOWER[data].astype(np.uint64)
+    """(row, hash or feature) of the distinct character n-grams of each row; with number, only those that are features."""
+    low, ends = characters(data, ends)
     rows, found = [], []
     for n in LENGTHS:
         if len(low) < n:
             continue
         key = np.zeros(len(low) - n + 1, np.uint64)
         for i in range(n):
-            key = (key << _U(8)) | low[i : len(key) + i]
+            key = key * _U(0x100000001B3) + low[i : len(key) + i]
         code = ((key * _U(0x9E3779B97F4A7C15 + 2 * n)) >> _U(64 - BITS)).astype(np.int64)
         inside = np.ones(len(code), bool)
         for k in range(1, n):  # those that would run into the next row
@@ -96,9 +112,15 @@ def train(texts: pa.Array, y: np.ndarray, shift: float) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a score of 0 to 1 for each whole text; null and empty texts get the model's bias alone."""
+    """docs with a score of 0 to 1 for each whole text, in `column`, or a fresh name like it where docs has one (see base.fresh).
+
+    Null and empty texts, and those shorter than an n-gram, get the model's bias alone. Each row is scored on its own, so
+    ids, ties and repeated rows are no matter; long texts go in blocks; an empty table stays empty. The other columns are
+    unchanged, whatever their names.
+    """
     spark = docs.sparkSession
     small_batches(spark)
+    column = fresh(docs, column)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that score under a half, with their columns."""
-    return score_documents(docs, model, "_toxic").filter("_toxic < 0.5").drop("_toxic")
+    """The rows of docs that score under a half (see score_documents), with their columns, whatever these are named."""
+    name = fresh(docs, "_toxic")
+    return score_documents(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def op6_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

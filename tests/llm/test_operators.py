@@ -346,8 +346,33 @@ def test_arc_versions_and_declared_lengths():
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"nonsense\n"))
     record = warc.from_arc("urn:uuid:1", {"URL": "http://x/", "IP-address": "1.2.3.4", "Archive-date": "20230102030405", "Content-type": "text/plain"}, b"\xff\xfe", None)
-    (fields, block), = warc.parse_warc(record.encode() + b"\r\n\r\n")
+    (fields, block), = warc.parse_warc(record + b"\r\n\r\n")
     assert fields["warc-type"] == "resource" and fields["warc-date"] == "2023-01-02T03:04:05Z" and block == b"\xff\xfe"
+    assert fields["content-length"] == "2" and fields["warc-block-digest"] == "sha1:" + warc.sha1(b"\xff\xfe")
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse_arc(two[:-2]))
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse_warc(record[:-1]))
+
+
+def test_bytes_that_are_no_text_come_back(spark, monkeypatch):
+    """ARC records of any bytes, through files, in archives closed by size."""
+    from caseloom.llm.base import scratch_path
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    arcs, warcs = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    payloads = [bytes(range(256)), b"\xff\xfe\x00\n\r\n", "é".encode("latin-1") * 2000, b""]
+    head = lambda n: f"HTTP/1.1 200 OK\r\nX-Page-Id: {n}\r\n\r\n".encode()
+    one = b"\n".join([warc.arc_record(1, "filedesc://x.arc", "text/plain", "0", b"1 0 x\n"), *(warc.arc_record(1, f"http://x/{n}", "text/html", "200", head(n) + p) for n, p in enumerate(payloads))])
+    warc._written(spark.createDataFrame([(bytearray(one),)], "value binary"), arcs, "\n")
+    warc.convert(spark, arcs, warcs)
+    got = {r.page_id: bytes(r.payload) for r in warc.read_warcs(spark, warcs, payloads=True).collect()}
+    assert got == dict(enumerate(payloads)) and warc._archives(spark, warcs).count() > 1
+    pages = spark.createDataFrame([(i, f"http://y/{i}", "z" * (100 * i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    arcs = scratch_path(spark, "arc")
+    warc.write_arcs(pages, arcs)
+    sizes = [len(warc._unzipped(bytes(r.content))) for r in warc._archives(spark, arcs).collect()]
+    assert len(sizes) > 20 and max(sizes) < 3000 + 1500 + 4000
 
 
 def test_payloads_come_back(spark, tables):
