@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_multi_index_minhash": near_dedup.OP2_SQL, "op4_trigram_secret_scan": secrets.OP4_SQL, "op5_automaton_decontamination": decontamination.OP5_SQL, "op8_arc_to_warc": warc.OP8_SQL, "op10_chunk_recipes": exact_dedup.OP10_SQL}
+    return {"op2_multi_index_minhash": near_dedup.OP2_SQL, "op3_byte_prefix_shards": sharding.OP3_SQL, "op4_trigram_secret_scan": secrets.OP4_SQL, "op5_automaton_decontamination": decontamination.OP5_SQL, "op8_arc_to_warc": warc.OP8_SQL, "op10_chunk_recipes": exact_dedup.OP10_SQL}

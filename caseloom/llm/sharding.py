@@ -67,3 +67,22 @@ def write_shards(docs: DataFrame, shards: int, path: str) -> None:
 def op3_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(load(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte (the reflected polynomial 0xEDB88320)."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        out.append(c)
+    return out
+
+
+OP3_SQL = f"""
+with b as (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint) as bytes from documents),
+r as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, y: xor(c >> 8, {_crc_table()}[(xor(c, y) & 255) + 1])), 4294967295) as text_crc32 from b),
+s as (select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) as ends, sum(size) over () as total, row_number() over (order by doc_id nulls first, text_crc32, size) as place from r),
+p as (select *, least((2 * ends - size) * 24 // (2 * total), 23)::int as shard from s)
+select doc_id, size, text_crc32, 'bytes' as law, shard, place - min(place) over (partition by shard) as slot, null::int as grown_shard from p
+"""
