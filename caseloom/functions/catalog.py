@@ -76,10 +76,13 @@ def name_class(name: Column) -> Column:
     )
 
 
+def length_factor(n: Column) -> Column:
+    return F.when(n < 3, 0.85).when(n < 10, 0.95).when(n < 25, 1.0).otherwise(1.02)
+
+
 def match_confidence(confidence: Column, name: Column, entity_type: Column, text: Column, filled: Column | None = None, year: Column | None = None) -> Column:
     """A pattern's confidence times factors for filled groups, length, type and name, and for unlikely years; from .5 to 1."""
-    n = F.length(text)
-    out = confidence * F.when(n < 3, 0.85).when(n < 10, 0.95).when(n < 25, 1.0).otherwise(1.02)
+    out = confidence * length_factor(F.length(text))
     if filled is not None:
         out = out * (0.9 + 0.1 * filled)
     boost = F.lit(None)

@@ -61,13 +61,21 @@ def sentence_spans(text: Column) -> Column:
     return spans(text, r"[^.!?]+[.!?]*\s*")
 
 
-def sentence_windows(found: DataFrame, docs: DataFrame, around: int = 1, by: str = "doc_id") -> DataFrame:
-    """found with the sentences around that in which a mention begins."""
-    with_sentences = docs.select(by, sentence_spans(F.col("text")).alias("_s"))
-    joined = found.join(with_sentences, by)
-    at = F.size(F.filter("_s", lambda s: s["start"] <= F.col("start")))
-    first = F.greatest(at - around, F.lit(1))
-    return joined.withColumns({"sentence": at, "window": F.array_join(F.transform(F.slice("_s", first, at + around - first + 1), lambda s: s["text"]), "")}).drop("_s")
+def sentence_windows(found: DataFrame, docs: DataFrame, around: int = 1, by: str = "doc_id", cell: int = 500) -> DataFrame:
+    """found with the number of the sentence in which a mention begins, and that sentence with those around it.
+
+    Sentences become rows once, with their neighbours; each goes to all cells of positions that it covers, and a mention
+    to that of its start, so no mention carries a text's sentences. Before the first sentence the number is 0.
+    """
+    w = Window.partitionBy(by).orderBy("sentence")
+    rows = docs.select(F.col(by), F.posexplode(sentence_spans(F.col("text"))).alias("_i", "_s")).select(by, (F.col("_i") + 1).alias("sentence"), F.col("_s.start").alias("_from"), F.col("_s.text").alias("_t"))
+    rows = rows.withColumns({"window": F.array_join(F.collect_list("_t").over(w.rowsBetween(-around, around)), ""), "_alone": F.array_join(F.collect_list("_t").over(w.rowsBetween(0, around - 1)), "") if around else F.lit(""), "_until": F.coalesce(F.lead("_from").over(w), F.lit(2**31 - 1))})
+    first = F.when(F.col("sentence") == 1, 0).otherwise(F.col("_from"))
+    last = F.when(F.col("_until") == 2**31 - 1, F.col("_from") + F.length("_t")).otherwise(F.col("_until"))
+    rows = rows.withColumn("_low", first).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") / cell), F.floor(last / cell))))
+    joined = found.withColumn("_cell", F.floor(F.col("start") / cell)).join(rows, [by, "_cell"]).filter((F.col("start") >= F.col("_low")) & (F.col("start") < F.col("_until")))
+    early = F.col("start") < F.col("_from")
+    return joined.withColumns({"window": F.when(early, F.col("_alone")).otherwise(F.col("window")), "sentence": F.when(early, 0).otherwise(F.col("sentence"))}).drop("_cell", "_from", "_t", "_alone", "_until", "_low")
 
 
 def closest(position: Column, spans_: Column) -> Column:

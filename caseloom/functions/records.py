@@ -136,4 +136,5 @@ def repaired(raw: pd.Series) -> pd.Series:
 def parse_all(rows: DataFrame, raw: str) -> DataFrame:
     """rows with `response`: by column functions where they can, by repair in Python for the rest alone."""
     first = rows.withColumn("response", parsed(F.col(raw)))
-    return first.withColumn("response", F.coalesce("response", F.when(F.col("response").isNull(), F.from_json(repaired(F.col(raw)), RESPONSE))))
+    rest = rows.filter(parsed(F.col(raw)).isNull()).withColumn("response", F.from_json(repaired(F.col(raw)), RESPONSE))
+    return first.filter("response is not null").unionByName(rest)

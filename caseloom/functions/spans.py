@@ -25,25 +25,34 @@ def running(numbers: Column) -> Column:
         return F.aggregate(part, begin, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def cut(all_: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STEP).cast("int")), lambda b: F.slice(all_, b * STEP + 1, STEP))
-        return let(blocks, lambda parts: F.flatten(F.zip_with(parts, sums(F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda t, x: t + x)), F.lit(0)), sums)))
+        last = F.greatest(F.floor((F.size(all_) - 1) / STEP), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_, b * STEP + 1, STEP))
 
-    return let(numbers, lambda all_: F.when(F.size(all_) == 0, F.array().cast("array<int>")).when(F.size(all_) <= STEP, sums(all_, F.lit(0))).otherwise(cut(all_)))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda t, x: t + x)
+    return let(let(numbers, cut), lambda parts: F.flatten(F.zip_with(parts, sums(F.transform(parts, total), F.lit(0)), sums)))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array of (start, stop, text), in code points.
+def pairs(text: Column, pattern: str) -> Column:
+    """Matches m, in order, each with the length of the piece of text before it (gap) and its own (n); null where none is.
 
-    A match begins where the pieces between matches, and the matches, before it end. The pattern is literal, so it is
-    compiled once a task; it must not match the empty string.
+    There is one more piece than matches: the last pair has no match. The pattern is literal, so it is compiled once a
+    task; it must not match the empty string.
     """
     p = F.lit(pattern)
-    none = F.array().cast(f"array<{SPAN}>")
-    # one more piece than matches: the last pair has no match and is cut off
-    pairs = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1), lambda m, x: F.struct(m.alias("m"), F.length(x).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("n")))
+    both = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1), lambda m, x: F.struct(m.alias("m"), F.length(x).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("n")))
+    return F.when(F.rlike(text, p), both)
+
+
+def placed(found: Column) -> Column:
+    """pairs as spans (start, stop, text): a match begins where the pieces, and the matches, before it end."""
     one = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("stop"), x["m"].alias("text"))
-    found = let(pairs, lambda all_: F.slice(F.zip_with(all_, running(F.transform(all_, lambda x: x["gap"] + x["n"])), one), 1, F.size(all_) - 1))
-    return F.when(F.rlike(text, p), found).when(text.isNotNull(), none)
+    return let(found, lambda all_: F.slice(F.zip_with(all_, running(F.transform(all_, lambda x: x["gap"] + x["n"])), one), 1, F.size(all_) - 1))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as array of (start, stop, text), in code points; null for a null text."""
+    found = placed(F.coalesce(pairs(text, pattern), F.array(F.struct(F.lit(None).cast("string").alias("m"), F.lit(0).alias("gap"), F.lit(0).alias("n")))))
+    return F.when(text.isNotNull(), found)
 
 
 def window(text: Column, start: Column, stop: Column, before: int, after: int) -> Column:

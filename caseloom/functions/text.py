@@ -33,10 +33,10 @@ CITATION_FORMS = (
 )
 LEGAL_ENTITY = (r"(?i)\bv\.\s+\w+", r"(?i)\b(?:Inc|Corp|LLC|Ltd|Co)\b", r"(?i)\b(?:Court|District|Circuit|Judge)\b", r"(?i)\b(?:United States|U\.S\.)\b")
 DOCUMENT_TYPES = {
-    "contract": "agreement,whereas,witnesseth,party,parties,effective date,term,termination,obligations,representations,warranties,indemnification",
-    "opinion": "opinion,dissent,concur,reverse,affirm,remand,appellant,appellee,held,judgment,circuit,district court,supreme court",
-    "statute": "enacted,amended,section,subsection,paragraph,shall,must,prohibited,authorized,penalty,violation,enforcement",
-    "brief": "plaintiff,defendant,motion,memorandum,argument,issue,facts,standard,conclusion,respectfully,relief,prayer",
+    "contract": ("agreement", "whereas", "witnesseth", "party", "parties", "effective date", "term", "termination", "obligations", "representations", "warranties", "indemnification"),
+    "opinion": ("opinion", "dissent", "concur", "reverse", "affirm", "remand", "appellant", "appellee", "held", "judgment", "circuit", "district court", "supreme court"),
+    "statute": ("enacted", "amended", "section", "subsection", "paragraph", "shall", "must", "prohibited", "authorized", "penalty", "violation", "enforcement"),
+    "brief": ("plaintiff", "defendant", "motion", "memorandum", "argument", "issue", "facts", "standard", "conclusion", "respectfully", "relief", "prayer"),
 }
 HIGH_COMPLEXITY = (
     r"\b(?:whereas|notwithstanding|heretofore|hereinafter)\b",
@@ -86,7 +86,7 @@ def normal(text: Column) -> Column:
     """Lower case, single spaces, no possessive, no leading stop word unless the text names a legal entity, little punctuation."""
     t = F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), r"'s\b", "")
     first = F.split(t, " ")[0]
-    bare = F.when(first.isin(*STOP_WORDS) & ~is_legal_entity(text), F.array_join(F.slice(F.split(t, " "), 2, 1_000_000), " ")).otherwise(t)
+    bare = F.when(first.isin(*STOP_WORDS) & ~is_legal_entity(text), F.regexp_replace(t, r"^[^ ]* ?", "")).otherwise(t)
     return legal_punctuation(bare)
 
 
@@ -109,7 +109,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def document_type(text: Column) -> Column:
     """The kind whose words occur most in the first 5000 characters; under two: unknown; ties: the first kind."""
     low = F.lower(F.substring(text, 1, 5000))
-    score = {k: sum((F.contains(low, F.lit(w)).cast("int") for w in words.split(",")), F.lit(0)) for k, words in DOCUMENT_TYPES.items()}
+    score = {k: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for k, words in DOCUMENT_TYPES.items()}
     best = F.greatest(*score.values())
     out = F.when(best < 2, F.lit("unknown"))
     for k, s in score.items():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,11 @@ def timeout_bands(requests: DataFrame, limit_s: float) -> DataFrame:
     return requests.withColumn("band", F.when(share >= 0.9, 90).when(share >= 0.75, 75).when(share >= 0.5, 50))
 
 
+def cache_key(text: Column, mode: Column, strategy: Column, options: Column) -> Column:
+    """Under which an answer is cached: hashes of the text and of the options, with mode and strategy."""
+    return F.concat_ws(":", F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16), mode, F.coalesce(strategy, F.lit("none")), F.substring(F.md5(options), 1, 8))
+
+
 def cache_reads(reads: DataFrame, ttl_s: float) -> DataFrame:
     """reads (key, ts) with `hit`: whether the key was read within its time to live before, each read renewing it."""
     from pyspark.sql import Window

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +20,37 @@ def trailing(log: DataFrame, minutes: float, ts: str = "ts") -> DataFrame:
     return log.join(F.broadcast(last), F.col(ts) >= F.col("_last") - F.expr(f"make_dt_interval(0, 0, 0, {minutes * 60})")).drop("_last")
 
 
+#: Ranges of values into which percentiles cut a column before they sort.
+RANGES = 128
+
+
+def _range_of(value: Column, bounds: list) -> Column:
+    """The number of bounds below a value, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    k = len(bounds) // 2
+    return F.when(value > bounds[k], F.lit(k + 1) + _range_of(value, bounds[k + 1 :])).otherwise(_range_of(value, bounds[:k]))
+
+
 def ordered_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], clamp: bool = False) -> DataFrame:
     """The value at place floor(n * share) of each group in order (not interpolated); with clamp the last if that is past the end.
 
-    Ranks come from a sort within groups, so no group is gathered into one array.
+    Values are cut into ranges at approximate quantiles, counts of ranges tell which range holds each place, and only
+    those ranges are sorted, equal values as one row: no group is sorted in one task, or gathered into an array.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = rows.select(*by, value).withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+    told = rows.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 100 * RANGES)).first()[0]
+    cut = _range_of(F.col(value), sorted(set(told or [])))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, cut.alias("_b"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranges = counted.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"))
+    order = Window.partitionBy(*by).orderBy("_b")  # ranges of a group: RANGES rows at most
+    ranges = ranges.withColumns({"_before": F.sum("_t").over(order) - F.col("_t"), "_n": F.sum("_t").over(Window.partitionBy(*by))})
     at = lambda share: F.least(F.floor(F.col("_n") * share), F.col("_n") - 1) if clamp else F.floor(F.col("_n") * share)
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_r") == at(s), F.col(value))).alias(name) for name, s in shares.items()])
+    held = [(at(s) >= F.col("_before")) & (at(s) < F.col("_before") + F.col("_t")) for s in shares.values()]
+    ranges = ranges.filter(reduce(lambda a, b: a | b, held))
+    inside = counted.join(ranges, [*by, "_b"])
+    run = F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v")) + F.col("_before")
+    ranked = inside.withColumn("_run", run)
+    return ranked.groupBy(*by).agg(*[F.max(F.when((at(s) < F.col("_run")) & (at(s) >= F.col("_run") - F.col("_c")), F.col("_v"))).alias(name) for name, s in shares.items()])
 
 
 def aggregated(log: DataFrame) -> DataFrame:
@@ -108,12 +132,17 @@ def classification(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return scored.agg((F.sum("hit") / n).alias("accuracy"), *[(F.sum(F.col(c) * F.col("true")) / n).alias(name) for c, name in (("p", "precision"), ("r", "recall"), ("f", "f1"))])
 
 
-def smoothed(rows: DataFrame, by: str, order: list[str], value: str, alpha: float) -> DataFrame:
+def smoothed(rows: DataFrame, by: str, order: list[str], value: str, alpha: float, part: Column | None = None) -> DataFrame:
     """Exponentially smoothed value of each group after its last row in order: the first counts whole, each later one alpha.
 
-    The weight of a row depends on how many follow it, so this is one aggregate after one window.
+    The weight of a row depends on how many follow it. Rows are ranked within parts of the order (by default hours of the
+    first column of it), and the counts of parts tell how many follow each part: no group is sorted in one task.
     """
+    rows = rows.withColumn("_p", F.date_trunc("hour", order[0]) if part is None else part)
+    parts = rows.groupBy(by, "_p").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(by)
-    ranked = rows.withColumns({"_k": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
-    weight = F.when(F.col("_k") == 1, F.lit(1.0)).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_k"))
+    parts = parts.withColumns({"_before": F.sum("_c").over(w.orderBy("_p")) - F.col("_c"), "_n": F.sum("_c").over(w)})
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order))).join(parts, [by, "_p"])
+    k = F.col("_k") + F.col("_before")
+    weight = F.when(k == 1, F.lit(1.0)).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("_n") - k)
     return ranked.groupBy(by).agg(F.sum(F.col(value) * weight).alias("smoothed"), F.max("_n").alias("n"))

@@ -45,6 +45,22 @@ def contained(spans: DataFrame, found: DataFrame, cell: int = 500, by: str = "do
     return s.join(m, [by, "_cell"]).filter((F.col("start") >= F.col("s_start")) & (F.col("stop") <= F.col("s_stop"))).drop("_cell")
 
 
+def nearest(found: DataFrame, reach: int, most: int, by: str = "doc_id") -> DataFrame:
+    """For each mention (t_rank, t_start) the `most` nearest others (rank, start, distance, k) of its document within reach.
+
+    Positions are cut into cells of the reach's width; a mention goes to all cells that it touches, as a target to those
+    within reach too, and a pair counts in the first cell that both are in.
+    """
+    cells = lambda a, b: F.expr(f"sequence(cast(floor(({a}) / {reach}) as long), cast(floor(({b}) / {reach}) as long))")
+    t = found.select(by, F.col("rank").alias("t_rank"), F.col("start").alias("t_start"), F.col("stop").alias("t_stop")).withColumn("_c", cells(f"t_start - {reach}", f"t_stop + {reach}"))
+    m = found.select(by, "rank", "start", "stop").withColumn("_d", cells("start", "stop"))
+    pairs = t.withColumns({"_t0": F.col("_c")[0], "_cell": F.explode("_c")}).drop("_c").join(m.withColumns({"_m0": F.col("_d")[0], "_cell": F.explode("_d")}).drop("_d"), [by, "_cell"])
+    gap = F.greatest(F.lit(0), F.greatest("start", "t_start") - F.least("stop", "t_stop"))
+    near = pairs.filter((F.col("_cell") == F.greatest("_t0", "_m0")) & ~((F.col("rank") == F.col("t_rank")) & (F.col("start") == F.col("t_start")))).withColumn("distance", gap).filter(F.col("distance") <= reach)
+    w = Window.partitionBy(by, "t_rank", "t_start").orderBy("distance", "start", "rank")
+    return near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select(by, "t_rank", "t_start", "start", "rank", "distance", "k")
+
+
 def first_pair(inside: DataFrame, subject: list[str], object_: list[str], by: str = "doc_id") -> DataFrame:
     """For each span its first mention of a subject type and first other one of an object type, by start, stop and rank."""
     at = F.struct("start", "stop", "rank", "text")

@@ -165,5 +165,10 @@ def overlapped_chunk_size(tokens: Column, most: int, percent: float = 0.1) -> Co
     return F.when(tokens <= most, tokens).otherwise(F.ceil(tokens / n * (1 + percent))).cast("int")
 
 
+def processing_seconds(prompt: Column, completion: Column, read: float = 19_000.0, write: float = 150.0) -> Column:
+    """Seconds for tokens read and written at so many a second."""
+    return prompt / read + completion / write
+
+
 def backoff_ms(attempt: Column, initial: float = 100.0, base: float = 2.0, most: float = 10_000.0) -> Column:
     return F.least(F.lit(initial) * F.pow(F.lit(base), attempt - 1), F.lit(most))

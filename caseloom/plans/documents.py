@@ -114,7 +114,7 @@ def doc_token_budget(spark, d):
 
 
 def _keyword_case(low: str) -> str:
-    score = {k: " + ".join(f"contains({low}, '{w}')::int" for w in words.split(",")) for k, words in T.DOCUMENT_TYPES.items()}
+    score = {k: " + ".join(f"contains({low}, '{w}')::int" for w in words) for k, words in T.DOCUMENT_TYPES.items()}
     inner = ", ".join(f"{s} as {k}" for k, s in score.items())
     return f"select doc_id, case when greatest(contract, opinion, statute, brief) < 2 then 'unknown' when contract = greatest(contract, opinion, statute, brief) then 'contract' when opinion = greatest(contract, opinion, statute, brief) then 'opinion' when statute = greatest(contract, opinion, statute, brief) then 'statute' else 'brief' end as document_type from (select doc_id, {inner} from documents)"
 

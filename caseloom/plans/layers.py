@@ -6,14 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import layers as L
-from ..functions.text import jaccard
+from ..operators import similar
 from .chunks import WINDOWS, windows
 from .mentions import MENTIONS, found
 from .metrics import LOG, log
 from .registry import query, table
 
-#: Items broadcast at once.
-ITEMS_AT_ONCE = 5_000
 _CITE = r"regexp_replace(regexp_replace(regexp_replace(text, '(\d+)\s+USC\s+§?\s*(\d+)', '\1 U.S.C. § \2', 'g'), '(\d+)\s+CFR\s+§?\s*(\d+)', '\1 C.F.R. § \2', 'g'), '(?:Section|Sec\.?)\s+(\d+)', '§ \1', 'g')"
 
 
@@ -66,16 +64,10 @@ def entity_contexts(spark, d):
 
 @query(r"with b as (select item_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) as w from benchmark), c as (select conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) as w from conversations), s as (select conv_id, turn, item_id, len(list_intersect(c.w, b.w)) / len(list_distinct(list_concat(c.w, b.w))) as s from c, b where len(c.w) > 0 and len(b.w) > 0) select conv_id, turn, item_id, round(s, 6)::double as similarity from (select *, row_number() over (partition by conv_id, turn order by s desc, item_id) as k from s where s >= 0.05) where k = 1")
 def phrase_types(spark, d):
-    """The item most like each turn, by word sets: items are the fixed side, broadcast in blocks of ITEMS_AT_ONCE, one row each."""
-    items, turns = table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "conversations")
-    n, out = -(-items.count() // ITEMS_AT_ONCE) or 1, None
-    for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-        scored = F.transform("items", lambda i: F.struct(jaccard(F.col("text"), i["text"]).alias("s"), (-i["item_id"]).alias("n")))
-        one = turns.join(F.broadcast(block)).select("conv_id", "turn", F.array_max(scored).alias("b")).filter("b.s >= 0.05")
-        out = one if out is None else out.unionByName(one)
-    best = out.groupBy("conv_id", "turn").agg(F.max("b").alias("b"))
-    return best.select("conv_id", "turn", (-F.col("b.n")).alias("item_id"), F.round("b.s", 6).alias("similarity"))
+    """The item most like each turn, by word sets."""
+    turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    best = similar.most_alike(turns, table(spark, d, "benchmark").select(F.col("item_id").alias("other"), "text"), 0.05)
+    return best.select("id.conv_id", "id.turn", F.col("other").alias("item_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"with {LOG} select event_id, user_id, round(ms, 6) as ms from (select *, row_number() over (order by ts desc, event_id desc) as k from log) where k <= 10")

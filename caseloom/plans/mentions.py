@@ -23,11 +23,12 @@ def _scan(p: C.Pattern, rank: int) -> str:
       (select doc_id, w, p, unnest(range(1, len(w) + 1)) as i from (select doc_id, regexp_extract_all(text, '{q}') as w, string_split_regex(text, '{q}') as p from documents)))"""
 
 
-MENTIONS = "raw as (" + " union all ".join(_scan(p, n) for n, p in enumerate(C.GENERIC)) + "), m as (select * exclude (k) from (select *, row_number() over (partition by doc_id, rank order by start) as k from raw where confidence >= 0.7) where k <= 1000)"
+MENTIONS = "raw as (" + " union all ".join(_scan(p, n) for n, p in enumerate(C.GENERIC)) + "), m as (select * from raw where confidence >= 0.7)"
 
 
 def found(spark, d):
-    return matching.mentions(table(spark, d, "documents"))
+    """All sure mentions of all documents."""
+    return matching.mentions(table(spark, d, "documents"), most=None)
 
 
 _OUT = "doc_id, name, entity_type, source, rank, start, stop, text, round(confidence, 8) as confidence"
@@ -42,11 +43,16 @@ def mention_scan(spark, d):
     return _told(found(spark, d))
 
 
-@query(rf"with {MENTIONS} select m.doc_id, rank, start, trim(regexp_replace(substr(d.text, greatest(start - 100, 0) + 1, stop + 100 - greatest(start - 100, 0)), '[\t\n\x0b\f\r ]+', ' ', 'g')) as context, substr(d.text, greatest(start - 50, 0) + 1, start - greatest(start - 50, 0)) as before, substr(d.text, stop + 1, 50) as after from m join documents d using (doc_id) where rank in (2, 5, 7)")
+@query(f"with {MENTIONS} select {_OUT} from (select *, row_number() over (partition by doc_id, rank order by start) as k from m) where k <= 1000")
+def mention_scan_limited(spark, d):
+    """At most 1000 matches of each pattern in a text, as a service limits them."""
+    return _told(matching.mentions(table(spark, d, "documents"), most=matching.MOST))
+
+
+@query(rf"with {MENTIONS} select m.doc_id, rank, start, trim(regexp_replace(substr(d.text, greatest(start - 100, 0) + 1, stop + 100 - greatest(start - 100, 0)), '[\t\n\x0b\f\r ]+', ' ', 'g')) as context, substr(d.text, greatest(start - 50, 0) + 1, start - greatest(start - 50, 0)) as before, substr(d.text, stop + 1, 50) as after from m join documents d using (doc_id)")
 def mention_context(spark, d):
     docs = table(spark, d, "documents")
-    some = found(spark, d).filter(F.col("rank").isin(2, 5, 7))
-    out = matching.with_context(some, docs).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id")
+    out = matching.with_context(found(spark, d), docs).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id")
     start, stop = F.col("start"), F.col("stop")
     return out.select("doc_id", "rank", "start", "context", window(F.col("t"), start, start, 50, 0).alias("before"), window(F.col("t"), stop, stop, 0, 50).alias("after"))
 

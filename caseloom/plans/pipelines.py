@@ -105,7 +105,7 @@ def limit_circuit(spark, d):
 
 @query()
 def limit_delays(spark, d):
-    return limits.delays(log(spark, d).select("mode", "ts", "event_id", "ms"), "mode", 2500.0).select("mode", "event_id", F.round("delay_ms", 6).alias("delay_ms"))
+    return limits.delays(log(spark, d).select("user_id", "ts", "event_id", "ms"), "user_id", 2500.0).select("user_id", "event_id", F.round("delay_ms", 6).alias("delay_ms"))
 
 
 @query(f"with {LOG}, r as (select event_id, user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as p from log) select event_id, coalesce(epoch(ts) - epoch(p) <= 36000, false) as hit from r")

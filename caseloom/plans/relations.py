@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.spans import running
 from ..operators import graph, relations
 from .mentions import MENTIONS, found
 from .registry import query, table
 
+#: Labels whose vectors are broadcast at once (some 8 KB each at a thousand numbers).
+TYPES_AT_ONCE = 2_000
 _RULES = ", ".join(f"('{a}', '{b}', '{t}')" for a, b, t in relations.TYPE_RULES)
 _NEAR = f"""rules as (select * from (values {_RULES}) t(x, y, relation)), p as (select a.doc_id, a.rank as a_rank, a.start as a_start, b.rank as b_rank, b.start as b_start, a.entity_type as a_type, b.entity_type as b_type, greatest(b.start - a.stop, 0) as distance from m a join m b on a.doc_id = b.doc_id
 and (b.start > a.start or (b.start = a.start and (b.stop > a.stop or (b.stop = a.stop and b.rank > a.rank)))) and b.start - a.stop <= 100)"""
@@ -15,28 +18,22 @@ and (b.start > a.start or (b.start = a.start and (b.stop > a.stop or (b.stop = a
 
 @query(f"with {MENTIONS}, {_NEAR} select doc_id, a_rank, a_start, b_rank, b_start, distance, coalesce(r.relation, s.relation, 'RELATED_TO') as relation, round(greatest(0.5, 1 - distance / 200), 6)::double as confidence from p left join rules r on r.x = a_type and r.y = b_type left join rules s on s.x = b_type and s.y = a_type")
 def relation_proximity(spark, d):
-    return relations.proximity(found(spark, d)).select("doc_id", "a_rank", "a_start", "b_rank", "b_start", "distance", "relation", F.round("confidence", 6).alias("confidence"))
+    return relations.proximity(found(spark, d).select("doc_id", "rank", "start", "stop", "entity_type")).select("doc_id", "a_rank", "a_start", "b_rank", "b_start", "distance", "relation", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"with {MENTIONS}, g as (select doc_id, a.start as t_start, b.text, b.start, b.rank, greatest(0, greatest(a.start, b.start) - least(a.stop, b.stop)) as distance from m a join m b using (doc_id) where a.rank = 2 and not (b.rank = a.rank and b.start = a.start)) select doc_id, t_start, start, rank, distance, k from (select *, row_number() over (partition by doc_id, t_start order by distance, start, rank) as k from g where distance <= 500) where k <= 5")
+@query(f"with {MENTIONS}, g as (select doc_id, a.rank as t_rank, a.start as t_start, b.start, b.rank, greatest(0, greatest(a.start, b.start) - least(a.stop, b.stop)) as distance from m a join m b using (doc_id) where not (b.rank = a.rank and b.start = a.start)) select doc_id, t_rank, t_start, start, rank, distance, k from (select *, row_number() over (partition by doc_id, t_rank, t_start order by distance, start, rank) as k from g where distance <= 500) where k <= 5")
 def nearby_mentions(spark, d):
-    from pyspark.sql import Window
-
-    m = found(spark, d)
-    t = m.filter("rank = 2").select("doc_id", F.col("start").alias("t_start"), F.col("stop").alias("t_stop"))
-    both = t.join(m, "doc_id").filter(~((F.col("rank") == 2) & (F.col("start") == F.col("t_start"))))
-    gap = F.greatest(F.lit(0), F.greatest("start", "t_start") - F.least("stop", "t_stop"))
-    near = both.withColumn("distance", gap).filter("distance <= 500")
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "t_start").orderBy("distance", "start", "rank"))).filter("k <= 5").select("doc_id", "t_start", "start", "rank", "distance", "k")
+    """The five mentions nearest to each mention, within 500 characters."""
+    return relations.nearest(found(spark, d).select("doc_id", "rank", "start", "stop"), 500, 5)
 
 
 @query(f"with {MENTIONS}, l as (select doc_id, i as span_id, coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x) + 1)), 0) as s_start, s[i] as line from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, string_split(text, chr(10)) as s from documents))) select l.doc_id, span_id, count(*) as n, min(start) as first_start, count(distinct entity_type) as types from l join m on l.doc_id = m.doc_id and m.start >= s_start and m.stop <= s_start + length(line) group by 1, 2")
 def mentions_in_lines(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("s"))
-    ends = F.aggregate("s", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    spans = lines.withColumn("e", ends).select("doc_id", "e", F.posexplode("s").alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("span_id"), F.element_at("e", F.col("i") + 1).alias("start")).join(lines, "doc_id")
-    spans = spans.select("doc_id", "span_id", "start", (F.col("start") + F.length(F.element_at("s", F.col("span_id")))).alias("stop"))
-    inside = relations.contained(spans, found(spark, d))
+    """Lines as spans: their lengths alone are kept, and starts are a running sum."""
+    n = F.transform(F.split("text", "\n", -1), lambda x: F.length(x))
+    lines = table(spark, d, "documents").select("doc_id", n.alias("n")).select("doc_id", F.posexplode(F.arrays_zip(F.col("n"), running(F.transform("n", lambda x: x + 1)).alias("at"))).alias("i", "l"))
+    spans = lines.select("doc_id", (F.col("i") + 1).alias("span_id"), F.col("l.at").alias("start"), (F.col("l.at") + F.col("l.n")).alias("stop"))
+    inside = relations.contained(spans, found(spark, d).select("doc_id", "entity_type", "start", "stop"))
     return inside.groupBy("doc_id", "span_id").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.countDistinct("entity_type").alias("types"))
 
 
@@ -120,10 +117,18 @@ def type_compatibility(spark, d):
 
 @query("with c as (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from embeddings), m as (select label, i, avg(v) as v from c group by 1, 2), t as (select label, list(v order by i) as v from m group by 1), s as (select vec_id, t.label, list_dot_product(embedding::double[], t.v) / sqrt(list_dot_product(embedding::double[], embedding::double[])) / sqrt(list_dot_product(t.v, t.v)) as cosine from embeddings e, t) select vec_id, label as nearest, round(cosine, 6) as cosine from (select *, row_number() over (partition by vec_id order by cosine desc, label) as k from s) where k = 1")
 def embedding_nearest_type(spark, d):
+    """The label whose mean vector has the largest cosine with each vector, the first of equals; labels are broadcast TYPES_AT_ONCE at a time."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("t"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    types = means.agg(F.collect_list(F.struct("label", "t")).alias("types"))
-    scored = e.select("vec_id", "v").join(F.broadcast(types)).withColumn("s", F.transform("types", lambda t: F.struct((dot(F.col("v"), t["t"]) / F.sqrt(dot(F.col("v"), F.col("v"))) / F.sqrt(dot(t["t"], t["t"]))).alias("c"), (-t["label"]).alias("l"))))
-    best = F.array_max("s")
-    return scored.select("vec_id", (-best["l"]).alias("nearest"), F.round(best["c"], 6).alias("cosine"))
+    size = lambda v: F.sqrt(dot(v, v))
+    means = means.withColumn("size", size(F.col("t")))
+    n, out = -(-e.agg(F.approx_count_distinct("label")).first()[0] // TYPES_AT_ONCE) or 1, None
+    rows = e.select("vec_id", "v", size(F.col("v")).alias("size"))
+    for k in range(n):
+        types = means.filter(F.pmod(F.xxhash64("label"), F.lit(n)) == k).agg(F.collect_list(F.struct("label", "t", "size")).alias("types"))
+        scored = F.transform("types", lambda t: F.struct((dot(F.col("v"), t["t"]) / F.col("size") / t["size"]).alias("c"), (-t["label"]).alias("l")))
+        one = rows.join(F.broadcast(types)).select("vec_id", F.array_max(scored).alias("best"))
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy("vec_id").agg(F.max("best").alias("best")) if n > 1 else out
+    return best.select("vec_id", (-F.col("best.l")).alias("nearest"), F.round("best.c", 6).alias("cosine"))

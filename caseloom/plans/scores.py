@@ -74,10 +74,9 @@ def mention_categories(spark, d):
     return found(spark, d).groupBy(X.category(F.col("entity_type")).alias("category"), "entity_type").agg(F.count("*").alias("n"))
 
 
-@query(rf"with {MENTIONS}, s as (select doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*\s*') as w, string_split_regex(text, '[^.!?]+[.!?]*\s*') as p from documents), t as (select doc_id, w, list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0)) as b from s), j as (select m.doc_id, m.rank, m.start, w, len(list_filter(b, lambda x: x <= m.start)) as pos from m join t using (doc_id) where rank in (2, 5, 7)) select doc_id, rank, start, pos::int as sentence, md5(array_to_string(w[greatest(pos - 1, 1):pos + 1], '')) as win from j")
+@query(rf"with {MENTIONS}, s as (select doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*\s*') as w, string_split_regex(text, '[^.!?]+[.!?]*\s*') as p from documents), t as (select doc_id, w, list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0)) as b from s), j as (select m.doc_id, m.rank, m.start, w, len(list_filter(b, lambda x: x <= m.start)) as pos from m join t using (doc_id)) select doc_id, rank, start, pos::int as sentence, md5(array_to_string(w[greatest(pos - 1, 1):pos + 1], '')) as win from j")
 def context_sentences(spark, d):
-    some = found(spark, d).filter(F.col("rank").isin(2, 5, 7))
-    return X.sentence_windows(some, table(spark, d, "documents")).select("doc_id", "rank", "start", "sentence", F.md5("window").alias("win"))
+    return X.sentence_windows(found(spark, d), table(spark, d, "documents")).select("doc_id", "rank", "start", "sentence", F.md5("window").alias("win"))
 
 
 # --- relation catalog ---
