@@ -40,7 +40,6 @@ VARIANTS = 64
 BROADCAST_IDS = 500_000
 #: Trigrams of a mask.
 MASK_BITS = 62
-SPANS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
 # --- Boolean trigram queries of a pattern: a set of alternatives, each a set of trigrams that must all occur ---
@@ -155,21 +154,30 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]], trigr
 # --- verification ---
 
 
-def found(text: Column, rule: Rule, rank: int) -> Column:
-    """Leftmost non-overlapping matches that stay: array of (start, rank, stop, kind), in code points, without a Python function.
-
-    A match's start is the length of all pieces between matches, and of all matches, before it: a running sum.
-    """
+def matches(text: Column, rule: Rule, rank: int) -> Column:
+    """A rule's constants, and its matches as pairs of (piece before, match, asked group) lengths; null where there is none."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     asked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    matches = F.zip_with(whole, asked, lambda w, a: F.struct(F.length(w).alias("w"), F.length(a).alias("a")))
-    # one more piece than matches: the last pair has no match and is cut off
-    steps = F.zip_with(matches, F.split(text, pattern, -1), lambda x, p: F.struct(F.length(p).alias("p"), F.coalesce(x["w"], F.lit(0)).alias("w"), x["a"].alias("a")))
-    one = lambda x, at: F.struct((at + x["p"]).alias("start"), F.lit(rank).alias("rank"), (at + x["p"] + x["w"]).alias("stop"), F.lit(rule.kind).alias("kind"), x["a"].alias("a"))
-    placed = let(steps, lambda all_: F.slice(F.zip_with(all_, running(F.transform(all_, lambda x: x["p"] + x["w"])), one), 1, F.size(all_) - 1))
-    kept = F.transform(F.filter(placed, lambda m: m["a"] >= rule.least), lambda m: m.dropFields("a"))
-    return F.when(F.rlike(text, pattern), kept).otherwise(F.array().cast(SPANS))
+    both = F.zip_with(whole, asked, lambda w, a: F.struct(F.length(w).alias("w"), F.length(a).alias("a")))
+    # one more piece than matches: the last pair has no match
+    steps = F.zip_with(both, F.split(text, pattern, -1), lambda x, p: F.struct(F.length(p).alias("p"), F.coalesce(x["w"], F.lit(0)).alias("w"), x["a"].alias("a")))
+    return F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), F.when(F.rlike(text, pattern), steps).alias("steps"))
+
+
+def found(rules: list[Column]) -> Column:
+    """Of `matches` of all rules the spans that stay: array of (start, rank, stop, kind) by start and rank, in code points.
+
+    A match's start is the length of all pieces between matches, and of all matches, before it: a running sum.
+    """
+
+    def spans(r: Column) -> Column:
+        one = lambda x, at: F.struct((at + x["p"]).alias("start"), r["rank"].alias("rank"), (at + x["p"] + x["w"]).alias("stop"), r["kind"].alias("kind"), x["a"].alias("a"))
+        placed = let(r["steps"], lambda all_: F.slice(F.zip_with(all_, running(F.transform(all_, lambda x: x["p"] + x["w"])), one), 1, F.size(all_) - 1))
+        return F.transform(F.filter(placed, lambda m: m["a"] >= r["least"]), lambda m: F.struct(*[m[c].alias(c) for c in ("start", "rank", "stop", "kind")]))
+
+    hits = F.filter(F.array(*rules), lambda r: r["steps"].isNotNull())
+    return F.array_sort(F.flatten(F.transform(hits, spans)))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -185,14 +193,13 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     trigrams = sorted({t for q in queries.values() for need in q for t in need})
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     if not queries:
-        return docs.select("doc_id", F.array_sort(F.concat(*[found(F.col("text"), r, n) for n, r in enumerate(rules)])).alias("spans"))
+        return docs.select("doc_id", found([matches(F.col("text"), r, n) for n, r in enumerate(rules)]).alias("spans"))
     some = scratch(candidates(postings(docs, trigrams), queries, trigrams), "candidates").withColumnRenamed("doc_id", "_id")
     if some.count() <= BROADCAST_IDS:
         some = F.broadcast(some)
     joined = docs.join(some, docs["doc_id"] == some["_id"], "left")
-    text, none = F.col("text"), F.array().cast(SPANS)
-    each = [F.when(F.array_contains("rules", n) | F.col("doc_id").isNull(), found(text, r, n)).otherwise(none) if n in queries else found(text, r, n) for n, r in enumerate(rules)]
-    return joined.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
+    asked = lambda n: F.when(F.array_contains("rules", n) | F.col("doc_id").isNull(), F.col("text")) if n in queries else F.col("text")
+    return joined.select("doc_id", found([matches(asked(n), r, n) for n, r in enumerate(rules)]).alias("spans"))
 
 
 def op4_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
