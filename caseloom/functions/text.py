@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let
+
 # Fixed values.
 STOP_WORDS = ("the", "a", "an", "of", "in", "on", "at", "to", "for", "by", "with")
 LEGAL_ABBREVIATIONS = ("u.s.", "f.2d", "f.3d", "s.ct.", "inc.", "corp.", "ltd.", "llc", "co.", "v.", "vs.", "no.", "art.", "sec.")
@@ -110,11 +112,15 @@ def document_type(text: Column) -> Column:
     """The kind whose words occur most in the first 5000 characters; under two: unknown; ties: the first kind."""
     low = F.lower(F.substring(text, 1, 5000))
     score = {k: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for k, words in DOCUMENT_TYPES.items()}
-    best = F.greatest(*score.values())
-    out = F.when(best < 2, F.lit("unknown"))
-    for k, s in score.items():
-        out = out.when(s == best, F.lit(k))
-    return out
+
+    def chosen(s: Column) -> Column:
+        best = F.greatest(*[s[k] for k in score])
+        out = F.when(best < 2, F.lit("unknown"))
+        for k in score:
+            out = out.when(s[k] == best, F.lit(k))
+        return out
+
+    return let(F.struct(*[s.alias(k) for k, s in score.items()]), chosen)
 
 
 def page_complexity(text: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, documents, layers, mentions, metrics, pipelines, records, relations, results, scores, stores  # noqa: F401
+from . import chunks, documents, layers, mentions, metrics, pipelines, records, relations, results, scores, smart, stores  # noqa: F401
 from .registry import QUERIES, SQL
 
 
