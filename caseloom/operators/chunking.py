@@ -9,11 +9,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import spans
+from ..functions.spans import let, spans
 from ..functions.text import jaccard
 
 # Fixed values.
-PAGE_BREAKS = (r"\f", r"\n[ \t]*Page[ \t]+\d+(?:[ \t]+of[ \t]+\d+)?[ \t]*\n", r"\n[ \t]*-[ \t]*\d+[ \t]*-[ \t]*\n", r"\[Page[ \t]+\d+\]")
+PAGE_BREAKS = (r"\f", r"\n\s*Page\s+\d+\s*\n", r"\n\s*-\s*\d+\s*-\s*\n", r"\n\s*\d+\s*\n\s*\n")
+PAGE_HEADERS = (
+    r"\n\s*(?:CASE\s+NO\.?|Case\s+Number)\s*:?\s*\d+",
+    r"\n\s*(?:IN\s+THE\s+(?:UNITED\s+STATES\s+)?(?:DISTRICT\s+)?COURT)",
+    r"\n\s*(?:UNITED\s+STATES\s+(?:DISTRICT\s+)?COURT)",
+    r"\n\s*(?:SUPERIOR\s+COURT\s+OF)",
+    r"\n\s*(?:STATE\s+OF\s+\w+)",
+    r"\n\s*(?:BEFORE\s+THE\s+)",
+    r"\n\s*(?:ORDER\s*(?:GRANTING|DENYING)?)",
+    r"\n\s*(?:MEMORANDUM\s+(?:OPINION\s+)?(?:AND\s+)?ORDER)",
+)
+#: Words of a page at least and at most where nothing else divides a text; of a page between headers, more than.
+PAGE_WORDS, PAGE_LEAST = (250, 400), 20
 BOUNDARIES = (("paragraph", r"\n\s*\n"), ("section", r"\n(?=(?:[IVX]+\.|[A-Z]\.|\d+\.)\s)"), ("sentence", r"[.!?]+\s+"), ("citation", r"\d+\s+[A-Z][A-Za-z.]*\s+\d+"), ("word", r"\s+"))
 
 
@@ -37,20 +49,34 @@ def _boundary(kind: str, strength: float):
     return lambda m: F.struct(m["stop"].alias("position"), F.lit(strength).alias("strength"), F.lit(kind).alias("kind"))
 
 
-def pages(docs: DataFrame, words_a_page: int = 300, key: str = "doc_id") -> DataFrame:
-    """key, page, content of each page that isn't blank: cut at the first kind of page break that a text has, else by words.
+def pages(docs: DataFrame, words_a_page: tuple[int, int] = PAGE_WORDS, key: str = "doc_id") -> DataFrame:
+    """key, page, content of each page that isn't blank: cut at the first kind of page break that a text has; else before
+    the headers of the first kind that gives two pages of some length; else by words.
 
     A page keeps the number of its piece, so numbers skip blank pieces.
     """
-    text = F.col("text")
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    n = F.ceil(F.size(words) / words_a_page).cast("int")
-    by_words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * words_a_page + 1, words_a_page), " "))
-    cut = F.when(F.rlike(text, F.lit(PAGE_BREAKS[0])), F.split(text, PAGE_BREAKS[0], -1))
+    text, strip = F.col("text"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    low, high = words_a_page
+
+    def by_words(w: Column) -> Column:
+        n = F.size(w)
+        size = F.least(F.lit(high), F.greatest(F.lit(low), F.floor(n / F.greatest(F.lit(1), F.floor(n / high))))).cast("int")
+        return let(size, lambda k: F.transform(F.sequence(F.lit(0), F.ceil(n / k).cast("int") - 1), lambda i: F.array_join(F.slice(w, i * k + 1, k), " ")))
+
+    def by_headers(p: str) -> Column:
+        heads = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+        parts = let(F.split(text, p, -1), lambda x: F.zip_with(heads, F.slice(x, 2, F.size(x)), lambda h, r: F.concat(h, r)))
+        joined = let(parts, lambda x: F.transform(x, lambda t, i: strip(F.when(i == 0, F.concat(F.split(text, p, 2)[0], t)).otherwise(t))))
+        some = F.filter(joined, lambda t: F.size(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))) > PAGE_LEAST)
+        return F.when(F.size(heads) > 1, let(some, lambda x: F.when(F.size(x) > 1, x)))
+
+    cut = F.when(F.rlike(text, F.lit("(?i)" + PAGE_BREAKS[0])), F.split(text, "(?i)" + PAGE_BREAKS[0], -1))
     for p in PAGE_BREAKS[1:]:
-        cut = cut.when(F.rlike(text, F.lit(p)), F.split(text, p, -1))
-    rows = docs.filter(F.length(F.trim("text")) > 0).select(key, F.posexplode(cut.otherwise(by_words)).alias("page", "content"))
-    return rows.select(key, (F.col("page") + 1).alias("page"), F.trim("content").alias("content")).filter("content <> ''")
+        cut = cut.when(F.rlike(text, F.lit("(?i)" + p)), F.split(text, "(?i)" + p, -1))
+    headed = F.coalesce(*[by_headers("(?i)" + p) for p in PAGE_HEADERS], let(words, by_words))
+    rows = docs.filter(F.rlike("text", F.lit(r"\S"))).select(key, F.posexplode(cut.otherwise(headed)).alias("page", "content"))
+    return rows.select(key, (F.col("page") + 1).alias("page"), strip(F.col("content")).alias("content")).filter("content <> ''")
 
 
 def with_previous_pages(pages_: DataFrame, k: int = 1, key: str = "doc_id") -> DataFrame:
@@ -59,6 +85,13 @@ def with_previous_pages(pages_: DataFrame, k: int = 1, key: str = "doc_id") -> D
     return pages_.withColumn("context", F.array_join(F.collect_list("content").over(w), "\n\n"))
 
 
+def combined(pages_: DataFrame, by: str, key: str = "doc_id") -> DataFrame:
+    """(key, by, first, pages, content) of pages that share `by`, in order, each under a line with its number."""
+    told = F.struct("page", F.concat(F.lit("=== PAGE "), F.col("page"), F.lit(" ===\n"), F.col("content")).alias("t"))
+    parts = F.transform(F.sort_array(F.collect_list(told)), lambda x: x["t"])
+    return pages_.groupBy(key, by).agg(F.min("page").alias("first"), F.count("*").alias("pages"), F.array_join(parts, "\n\n").alias("content"))
+
+
 def extended(chunks: DataFrame, overlap: int, key: str = "doc_id") -> DataFrame:
     """chunks with so many characters of the neighbours on either side."""
     w = Window.partitionBy(key).orderBy("chunk")

@@ -37,9 +37,9 @@ def chunk_coherence(spark, d):
     return windows(spark, d).select("doc_id", "chunk", F.round(chunking.coherence(F.col("content")), 6).alias("coherence"))
 
 
-@query(f"with {WINDOWS} select doc_id, chunk, below_min_size, exceeds_max_size from (select *, length(content) < 100 as below_min_size, length(content) > 1.2 * 400 as exceeds_max_size, row_number() over (partition by doc_id order by chunk) as r from w where trim(content) <> '') where r <= 5")
+@query(f"with {WINDOWS} select doc_id, chunk, below_min_size, exceeds_max_size from (select *, length(content) < 100 as below_min_size, length(content) > 1.2 * 400 as exceeds_max_size, row_number() over (partition by doc_id order by chunk) as r from w where trim(content) <> '') where r <= 100")
 def chunk_checked(spark, d):
-    return chunking.checked(windows(spark, d), 100, 400, 5).select("doc_id", "chunk", "below_min_size", "exceeds_max_size")
+    return chunking.checked(windows(spark, d), 100, 400).select("doc_id", "chunk", "below_min_size", "exceeds_max_size")
 
 
 @query("with l as (select doc_id, i as chunk, s[i] as content from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, string_split(text, chr(10)) as s from documents))) select doc_id, chunk, md5(content) as content from (select *, row_number() over (partition by doc_id, lower(trim(content)) order by chunk) as r from l) where r = 1")
@@ -57,22 +57,81 @@ def _bounds_sql(kind: str, pattern: str, strength: float) -> str:
     return f"select doc_id, '{kind}' as kind, {strength}::double as strength, (list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(w[1:i], lambda x: length(x))))::int as position from (select doc_id, w, p, unnest(range(1, len(w) + 1)) as i from (select doc_id, regexp_extract_all(text, '{pattern}') as w, string_split_regex(text, '{pattern}') as p from documents))"
 
 
-_KINDS = {"line": (r"\n", 0.7), "sentence": (r"[.!?]+\s+", 0.4)}
+_KINDS = {"paragraph": (r"\n\s*\n", 0.7), "line": (r"\n", 0.5), "sentence": (r"[.!?]+\s+", 0.4)}
 
 
-@query("with b as (" + " union all ".join(_bounds_sql(k, p, s) for k, (p, s) in _KINDS.items()) + ") select doc_id, position, max(strength) as strength, arg_max(kind, strength) as kind from b group by 1, 2")
+@query("with documents as (select doc_id, replace(text, '. ', '.' || chr(10) || ' ' || chr(10)) as text from main.documents), b as (" + " union all ".join(_bounds_sql(k, p, s) for k, (p, s) in _KINDS.items()) + ") select doc_id, position, max(strength) as strength, arg_max(kind, strength) as kind from b group by 1, 2")
 def text_boundaries(spark, d):
-    return chunking.boundaries(table(spark, d, "documents"), _KINDS)
+    """Boundaries of texts whose sentences stand as paragraphs."""
+    docs = table(spark, d, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n \n")))
+    return chunking.boundaries(docs, _KINDS)
 
 
-@query(r"with p as (select doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: true) as w from documents where trim(text) <> ''), q as (select doc_id, i::int + 1 as page, trim(array_to_string(w[i * 300 + 1:i * 300 + 300], ' ')) as content from (select doc_id, w, unnest(range(0, ceil(len(w) / 300.0)::bigint)) as i from p)) select doc_id, page, length(content) as chars, md5(content) as content from q where content <> ''")
+def _strip(t: str) -> str:
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _headers_sql(p: str) -> str:
+    """Pages that begin at the second and later matches; null if fewer than two are long enough."""
+    whole, parts = f"regexp_extract_all(text, '(?i){p}')", f"string_split_regex(text, '(?i){p}')"
+    each = f"list_transform(range(1, len({whole}) + 1), lambda i: {_strip(f'case when i = 1 then {parts}[1] else chr(0)[1:0] end || {whole}[i] || {parts}[i + 1]')})"
+    kept = f"list_filter({each}, lambda t: len(regexp_extract_all(t, '\\S+')) > {chunking.PAGE_LEAST})"
+    return f"case when len({whole}) > 1 and len({kept}) > 1 then {kept} end"
+
+
+def pages_sql(low: int, high: int, source: str = "documents", key: str = "doc_id") -> str:
+    """(key, page, content)"""
+    breaks = " ".join(f"when regexp_matches(text, '(?i){p}') then string_split_regex(text, '(?i){p}')" for p in chunking.PAGE_BREAKS)
+    size = f"least({high}, greatest({low}, len(w) // greatest(1, len(w) // {high})))"
+    by_words = f"list_transform(range(0, ceil(len(w) / {size})::bigint), lambda i: array_to_string(w[i * {size} + 1:i * {size} + {size}], ' '))"
+    headed = "coalesce(" + ", ".join(map(_headers_sql, chunking.PAGE_HEADERS)) + f", {by_words})"
+    return rf"""select {key}, page::int as page, content from (select {key}, i as page, {_strip("p[i]")} as content from (select {key}, p, unnest(range(1, len(p) + 1)) as i from
+    (select {key}, case {breaks} else {headed} end as p from (select {key}, text, regexp_extract_all(text, '\S+') as w from {source} where regexp_matches(text, '\S'))))) where content <> ''"""
+
+
+@query(f"select doc_id, page, length(content) as chars, md5(content) as content from ({pages_sql(*chunking.PAGE_WORDS)})")
 def page_split(spark, d):
     return chunking.pages(table(spark, d, "documents")).select("doc_id", "page", F.length("content").alias("chars"), F.md5("content").alias("content"))
 
 
-@query(r"with p as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as w from documents where trim(text) <> ''), q as (select doc_id, i::int + 1 as page, trim(array_to_string(w[i * 300 + 1:i * 300 + 300], ' ')) as content from (select doc_id, w, unnest(range(0, ceil(len(w) / 300.0)::bigint)) as i from p)) select doc_id, page, md5(coalesce(lag(content, 2) over v || chr(10) || chr(10), '') || coalesce(lag(content) over v, '')) as context from q window v as (partition by doc_id order by page)")
+#: Texts with page breaks and headers of each kind, made of the documents' own.
+_BROKEN_SQL = r"""(select doc_id, case doc_id % 7 when 0 then text || chr(12) || text when 1 then text || chr(10) || ' page  ' || doc_id || chr(10) || text when 2 then text || chr(10) || '- 4 -' || chr(10) || lang when 3 then text || chr(10) || '17' || chr(10) || chr(10) || text
+when 4 then text || chr(10) || 'CASE NO. 12 ' || text || chr(10) || ' Case Number: 13 ' || text when 5 then text || chr(10) || 'Order granting ' || text || chr(10) || 'State of Utah ' || text || chr(10) || 'ORDER ' || text else text || ' Page 3 ' || text end as text from documents)"""
+
+
+def _broken(spark, d):
+    t, n = F.col("text"), F.lit("\n")
+    put = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    kinds = (put(t, "\f", t), put(t, n, " page  ", F.col("doc_id").cast("string"), n, t), put(t, n, "- 4 -", n, F.col("lang")), put(t, n, "17", n, n, t), put(t, n, "CASE NO. 12 ", t, n, " Case Number: 13 ", t), put(t, n, "Order granting ", t, n, "State of Utah ", t, n, "ORDER ", t), put(t, " Page 3 ", t))
+    out = F.when(F.col("doc_id") % 7 == 0, kinds[0])
+    for k, x in enumerate(kinds[1:], 1):
+        out = out.when(F.col("doc_id") % 7 == k, x)
+    return table(spark, d, "documents").select("doc_id", out.alias("text"))
+
+
+@query(f"select doc_id, page, length(content) as chars, md5(content) as content from ({pages_sql(*chunking.PAGE_WORDS, _BROKEN_SQL)})")
+def page_split_breaks(spark, d):
+    """Every kind of page break and header."""
+    return chunking.pages(_broken(spark, d)).select("doc_id", "page", F.length("content").alias("chars"), F.md5("content").alias("content"))
+
+
+@query(f"with q as ({pages_sql(300, 300)}) select doc_id, page, md5(coalesce(lag(content, 2) over v || chr(10) || chr(10), '') || coalesce(lag(content) over v, '')) as context from q window v as (partition by doc_id order by page)")
 def page_context(spark, d):
-    return chunking.with_previous_pages(chunking.pages(table(spark, d, "documents")), 2).select("doc_id", "page", F.md5("context").alias("context"))
+    return chunking.with_previous_pages(chunking.pages(table(spark, d, "documents"), (300, 300)), 2).select("doc_id", "page", F.md5("context").alias("context"))
+
+
+@query(f"with q as ({pages_sql(*chunking.PAGE_WORDS)}) select doc_id, (page - 1) // 3 as batch, min(page) as first, count(*) as pages, md5(string_agg('=== PAGE ' || page || ' ===' || chr(10) || content, chr(10) || chr(10) order by page)) as content from q group by 1, 2")
+def page_combined(spark, d):
+    """The pages of a batch as one text, each under a line with its number."""
+    pages = chunking.pages(table(spark, d, "documents")).withColumn("batch", F.floor((F.col("page") - 1) / 3))
+    return chunking.combined(pages, "batch").select("doc_id", "batch", "first", "pages", F.md5("content").alias("content"))
+
+
+@query(f"with q as ({pages_sql(*chunking.PAGE_WORDS)}), p as (select *, (page - 1) // 3 as batch, len(regexp_extract_all(content, '\\S+')) as words from q), b as (select doc_id, batch, count(*) as pages, sum(words)::bigint as words, sum(length(content))::bigint as chars from p group by 1, 2) select doc_id, count(*) as batches, sum(pages)::bigint as pages, round(avg(pages), 6) as mean_pages, round(avg(words), 6) as mean_words, max(chars) as most_chars from b group by 1")
+def page_batch_statistics(spark, d):
+    p = chunking.pages(table(spark, d, "documents")).select("doc_id", F.floor((F.col("page") - 1) / 3).alias("batch"), F.size(F.regexp_extract_all("content", F.lit(r"\S+"), F.lit(0))).alias("words"), F.length("content").alias("chars"))
+    b = p.groupBy("doc_id", "batch").agg(F.count("*").alias("pages"), F.sum("words").alias("words"), F.sum("chars").alias("chars"))
+    return b.groupBy("doc_id").agg(F.count("*").alias("batches"), F.sum("pages").alias("pages"), F.round(F.avg("pages"), 6).alias("mean_pages"), F.round(F.avg("words"), 6).alias("mean_words"), F.max("chars").alias("most_chars"))
 
 
 def _spans_sql(pattern: str) -> str:

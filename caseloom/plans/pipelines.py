@@ -94,7 +94,7 @@ def entity_references(spark, d):
 
 @query()
 def page_batches(spark, d):
-    pages = chunking.pages(table(spark, d, "documents"), 100)
+    pages = chunking.pages(table(spark, d, "documents"), (100, 100))
     return registry.page_batches(pages.select("doc_id", "page", T.page_complexity(F.col("content")).alias("complexity")))
 
 
