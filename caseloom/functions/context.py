@@ -82,3 +82,21 @@ def closest(position: Column, spans_: Column) -> Column:
     """The number (from 1) of the span nearest to a position, the first of equals."""
     gap = F.transform(spans_, lambda s, i: F.struct(F.greatest(F.lit(0), s["start"] - position, position - s["stop"]).alias("d"), (i + 1).alias("i")))
     return F.array_min(gap)["i"]
+
+
+def pattern_signals(windows: DataFrame, table: DataFrame) -> DataFrame:
+    """For windows (doc_id, rank, start, entity_type, low) the context whose indicators occur most in low, of equals the one
+    with the shortest name; its share of all, more if it is expected of the type, and for each word near by.
+
+    The mapping is a constant of the program: one row holds it, broadcast.
+    """
+    words = table.groupBy(F.col("primary_context").alias("ctx")).agg(F.array_distinct(F.flatten(F.collect_list("indicators"))).alias("words")).agg(F.collect_list(F.struct("ctx", "words")).alias("contexts"))
+    count = lambda k: F.floor((F.length("low") - F.length(F.replace(F.col("low"), k, F.lit("")))) / F.length(k))
+    each = F.transform("contexts", lambda c: F.struct(F.aggregate(c["words"], F.lit(0).cast("long"), lambda s, k: s + count(k)).alias("n"), (-F.length(c["ctx"])).alias("short"), c["ctx"].alias("ctx")))
+    rows = windows.join(F.broadcast(words)).withColumn("hits", F.filter(each, lambda x: x["n"] > 0)).filter(F.size("hits") > 0)
+    rows = rows.withColumns({"best": F.array_max("hits"), "total": F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["n"])})
+    rows = rows.join(F.broadcast(table.select("entity_type", "primary_context", "near", "boost")), "entity_type", "left")
+    matches = F.coalesce(F.col("primary_context") == F.col("best.ctx"), F.lit(False))
+    near = F.coalesce(F.size(F.filter("near", lambda k: F.contains(F.col("low"), k))), F.lit(0))
+    sure = F.col("best.n") / F.col("total") + F.when(matches, 0.2).otherwise(0.0) + 0.05 * F.when(F.col("near").isNull(), 0).otherwise(near)
+    return rows.select("doc_id", "rank", "start", F.col("best.ctx").alias("context"), "total", F.least(F.lit(1.0), sure).alias("confidence"), matches.alias("matches"), "boost")
