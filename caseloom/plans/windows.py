@@ -48,8 +48,8 @@ def context_paragraphs(spark, d):
 _SECTIONS = rf"""sl as (select doc_id, k, s[k] as line, {STRIP.format('s[k]')} as bare from (select doc_id, s, unnest(range(1, len(s) + 1)) as k from (select doc_id, string_split(text, chr(10)) as s from documents))),
 sh as (select *, regexp_matches(bare, '{q(W.HEADER)}') as header, (sum(length(line) + 1) over (partition by doc_id order by k) - length(line) - 1)::int as pos from sl),
 sg as (select *, count_if(header) over (partition by doc_id order by k) as s from sh),
-st as (select doc_id, s, max(case when header then bare end) as title, min(case when not header then pos end) as start, max(case when not header then pos + length(line) end)::int as stop, bool_or(not header and bare <> '') as some from sg group by 1, 2),
-se as (select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as i, coalesce(title, 'Introduction') as title, start, stop, count(*) over (partition by doc_id) as sections from st where some)"""
+st as (select doc_id, s, max(case when header then bare end) as title, min(case when not header then pos end) as start, max(case when not header then pos + length(line) end)::int as stop, bool_or(not header and bare <> '') as filled from sg group by 1, 2),
+se as (select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as i, coalesce(title, 'Introduction') as title, start, stop, count(*) over (partition by doc_id) as sections from st where filled)"""
 
 
 @query(f"with {_SHAPED}, {MENTIONS}, {_SECTIONS} select m.doc_id, m.rank, m.start, i as segment, title, se.start as first, se.stop as last, sections from m join se on m.doc_id = se.doc_id and m.start >= se.start and m.start < se.stop")
