@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import candidates, chunks, documents, layers, mentions, metrics, pipelines, records, relations, results, scores, smart, stores, windows  # noqa: F401
+from . import candidates, catalogs, chunks, documents, layers, mentions, metrics, pipelines, records, relations, results, scores, smart, stores, windows  # noqa: F401
 from .registry import QUERIES, SQL
 
 
