@@ -124,3 +124,12 @@ def participation(edges: DataFrame) -> DataFrame:
     """How often an id is an end of an edge, as source and as target."""
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(edges.select(F.col("tgt").alias("id"), F.lit(0).alias("s"), F.lit(1).alias("t")))
     return ends.groupBy("id").agg(F.sum("s").alias("as_source"), F.sum("t").alias("as_target"), F.count("*").alias("total"))
+
+
+def merged_attributes(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Attributes (id, court, names, more) of entities in both: the target's court where it has one, all names, the source's
+    entries over the target's; and whether the courts conflict."""
+    t, s = target.alias("t"), source.alias("s")
+    more = F.map_concat(F.map_filter("t.more", lambda k, v: ~F.map_contains_key(F.col("s.more"), k)), F.col("s.more"))
+    conflict = F.coalesce(F.col("t.court") != F.col("s.court"), F.lit(False))
+    return t.join(s, F.col("t.id") == F.col("s.id")).select("t.id", F.coalesce("t.court", "s.court").alias("court"), F.array_sort(F.array_union("t.names", "s.names")).alias("names"), more.alias("more"), conflict.alias("conflict"))

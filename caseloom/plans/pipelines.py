@@ -22,7 +22,7 @@ class Scorer(Protocol):
 
 
 def regex_scorer(patterns=C.GENERIC) -> Scorer:
-    return lambda docs: matching.mentions(docs, patterns)
+    return lambda docs: matching.mentions(docs, patterns, most=None)
 
 
 #: Strategies by name: how sources are fused, the conflict rule, and the filter.
@@ -47,7 +47,7 @@ def extract(docs: DataFrame, strategy: str = "unified", scorers: tuple[Scorer, .
 @query()
 def extract_unified(spark, d):
     out = extract(table(spark, d, "documents").select("doc_id", "text"))
-    m = out["mentions"].groupBy("doc_id").agg(F.count("*").alias("mentions"), F.round(F.avg("confidence"), 6).alias("mean"))
+    m = out["mentions"].groupBy("doc_id").agg(F.count("*").alias("mentions"), F.round(F.avg("confidence"), 9).alias("mean"))
     e = out["entities"].groupBy("doc_id").agg(F.count("*").alias("entities"))
     r = out["relations"].groupBy("doc_id").agg(F.count("*").alias("relations"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -59,7 +59,7 @@ def extract_chunked(spark, d):
     """Mentions of overlapping chunks, shifted to the document, of which a repeated one stays once."""
     chunks = chunking.windows(table(spark, d, "documents"), 2000, 200)
     keyed = chunks.withColumn("piece", F.struct("doc_id", "chunk", "start").alias("piece")).select(F.col("piece").alias("doc_id"), F.col("content").alias("text"))
-    rows = matching.mentions(keyed)
+    rows = matching.mentions(keyed, most=None)
     at = F.col("doc_id.start")
     moved = rows.select(F.col("doc_id.doc_id").alias("doc_id"), "name", "entity_type", "source", "rank", (F.col("start") + at).alias("start"), (F.col("stop") + at).alias("stop"), "text", "confidence")
     return resolving.dedup(moved, "exact").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("stop").alias("last"))
