@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import let, spans
-from ..functions.text import jaccard
 
 # Fixed values.
 PAGE_BREAKS = (r"\f", r"\n\s*Page\s+\d+\s*\n", r"\n\s*-\s*\d+\s*-\s*\n", r"\n\s*\d+\s*\n\s*\n")
@@ -30,12 +29,19 @@ BOUNDARIES = (("paragraph", r"\n\s*\n"), ("section", r"\n(?=(?:[IVX]+\.|[A-Z]\.|
 
 
 def windows(docs: DataFrame, size: int, overlap: int = 0, key: str = "doc_id") -> DataFrame:
-    """key, chunk, start, stop, content: windows of so many characters that share overlap with the next; the last ends with the text."""
+    """key, chunk, start, stop, content: windows of so many characters that share overlap with the next; the last ends with the text.
+
+    A text is cut into steps once, and a window is joined from its steps: the cost grows with the text's length alone.
+    """
     n, step = F.length("text"), size - overlap
     last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
-    rows = docs.filter(n > 0).select(key, "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    start = F.col("chunk") * step
-    return rows.select(key, "chunk", start.alias("start"), F.least(start + size, F.length("text")).alias("stop"), F.substring("text", start + 1, F.lit(size)).alias("content"))
+
+    def cut(pieces: Column) -> Column:
+        content = lambda k: F.left(F.array_join(F.slice(pieces, k + 1, 1 + -(-overlap // step)), ""), F.lit(size))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("chunk"), (k * step).alias("start"), F.least(k * step + size, n).alias("stop"), content(k).alias("content")))
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return docs.filter(n > 0).select(key, F.explode(let(pieces, cut)).alias("w")).select(key, "w.*")
 
 
 def boundaries(docs: DataFrame, kinds: dict[str, tuple[str, float]], key: str = "doc_id") -> DataFrame:
@@ -116,10 +122,18 @@ def size_score(actual: Column, target: int) -> Column:
 
 
 def coherence(content: Column) -> Column:
-    """Mean similarity of the words of consecutive sentences; 1 for a single sentence."""
-    s = F.filter(F.split(content, r"[.!?]+\s*"), lambda x: F.trim(x) != "")
-    pairs = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: jaccard(a, b))
-    return F.when(F.size(s) < 2, 1.0).otherwise(F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x) / F.size(pairs))
+    """Mean similarity of the words of consecutive sentences; 1 for a single sentence. Each sentence's words are listed once."""
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""))
+    sets = F.transform(F.filter(F.split(content, r"[.!?]+\s*"), lambda x: F.trim(x) != ""), words)
+
+    def alike(a: Column, b: Column) -> Column:
+        return let(F.size(F.array_intersect(a, b)), lambda k: F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(k / (F.size(a) + F.size(b) - k)))
+
+    def mean(s: Column) -> Column:
+        pairs = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), alike)
+        return F.when(F.size(s) < 2, 1.0).otherwise(F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x) / (F.size(s) - 1))
+
+    return let(sets, mean)
 
 
 def checked(chunks: DataFrame, least: int = 100, most: int = 1000, limit: int = 100, key: str = "doc_id") -> DataFrame:

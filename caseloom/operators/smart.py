@@ -128,9 +128,16 @@ def legal(text: Column, least: int = LEAST, most: int = MOST) -> Column:
         firsts = _firsts(_lengths(lines, 1), most, starts, inside, least)
         return let(whole, lambda w: _groups(w, firsts, lambda a, own: let(F.array_join(own, ""), lambda t: _chunk(F.get(p["at"], a), F.get(p["at"], a) + F.length(t), t, "legal_section"))))
 
+    def held(x: Column) -> Column:
+        """Spans that may hold the beginning of a line: those over several lines, and those that begin where a line does."""
+        all_, at = x["spans"], x["at"]
+        first = F.array_intersect(at, F.transform(all_, lambda s: s["start"]))
+        some = let(first, lambda f: F.filter(all_, lambda s: s["lines"] | F.array_contains(f, s["start"])))
+        return F.struct(x["lines"].alias("lines"), at.alias("at"), some.alias("spans"))
+
     lines = F.split(text, "\n", -1)
-    over_lines = F.filter(protected(text), lambda s: s["lines"])  # only these can hold the beginning of a line
-    return let(let(lines, lambda x: F.struct(x.alias("lines"), running(_lengths(x, 1)).alias("at"), over_lines.alias("spans"))), cut)
+    found = let(lines, lambda x: F.struct(x.alias("lines"), running(_lengths(x, 1)).alias("at"), protected(text).alias("spans")))
+    return let(let(found, held), cut)
 
 
 def merged_spans(docs: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import candidates, catalogs, chunks, documents, extractions, layers, mentions, metrics, pipelines, records, recovery, relations, results, scores, smart, stores, windows  # noqa: F401
+from . import candidates, catalogs, chunks, documents, extractions, layers, mentions, metrics, pipelines, records, recovery, recursive, relations, results, scores, smart, stores, windows  # noqa: F401
 from .registry import QUERIES, SQL
 
-SQL |= {"extract_unified": extractions.UNIFIED_SQL, "extract_chunked": extractions.CHUNKED_SQL}
+SQL |= {"extract_unified": extractions.UNIFIED_SQL, "extract_chunked": extractions.CHUNKED_SQL} | recursive.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,7 +45,7 @@ xe as (select doc_id, i, 0 as sub, start, stop, t as content, 'section' as kind
 sections as (select doc_id, row_number() over (partition by doc_id order by i, sub) - 1 as chunk, start, stop, content, kind from xe union all select * from paragraphs where doc_id not in (select doc_id from xr))"""
 PROTECTED = f"pr as (select doc_id, start, stop, text from ({spans_sql(smart.CITATION, 'd')}) union all select doc_id, start, stop, text from ({spans_sql(smart.QUOTE, 'd')}))"
 LEGAL = rf"""lr as (select doc_id, i, s[i] as l, s[i] || case when i < len(s) then chr(10) else '' end as t from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, string_split(text, chr(10)) as s from d))),
-la as (select *, length(t) as n, (sum(length(t)) over (partition by doc_id order by i) - length(t))::int as pos from lr), lb as (select doc_id, start, stop from pr where contains(text, chr(10))),
+la as (select *, length(t) as n, (sum(length(t)) over (partition by doc_id order by i) - length(t))::int as pos from lr), lb as (select doc_id, start, stop from pr),
 li as (select distinct la.doc_id, i from la join lb on la.doc_id = lb.doc_id and lb.start <= pos and pos < lb.stop),
 lp as (select la.doc_id as key, la.i, t, n, regexp_matches(l, '{q(smart.SECTION)}') as must, li.i is not null as inside, pos from la left join li on la.doc_id = li.doc_id and la.i = li.i), {packed_sql("lp")},
 legal as (select key as doc_id, chunk, min(pos)::int as start, (min(pos) + length(string_agg(t, '' order by i)))::int as stop, string_agg(t, '' order by i) as content, 'legal_section' as kind from lp join lp_g using (key, i) group by 1, 2)"""
