@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import MARKS, blocks, fresh, load, small_batches, text_or_empty, texts_of, word_hashes, words
+from .base import MARKS, blocks, fresh, load, scratch, small_batches, text_or_empty, texts_of, word_hashes, words
 
 #: Consecutive words that count as a passage of an item; shorter items count as a whole.
 WINDOW = 10
-#: Bytes of items in one automaton; more items make more automata, which the documents pass one after another.
-AUTOMATON_BYTES = 8 << 20
+#: Bytes of items in one automaton (some 100 MB in a worker); automata that a worker holds at once. More items make more
+#: automata, which the documents pass group after group, written to the shared folder between groups.
+AUTOMATON_BYTES, AT_ONCE = 1 << 20, 4
 #: Share of a document's words in passages from which the document goes, instead of its passages.
 COVERAGE = 0.5
 #: Names of the columns that tell of passages.
@@ -151,7 +152,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. Null and empty texts have none. Each
     row is judged on its own, so repeated rows and ids are no matter; items without words match nothing; an empty
-    benchmark marks nothing. Nothing is shuffled: texts stream past the broadcast automata.
+    benchmark marks nothing. Nothing is shuffled: texts stream past the broadcast automata, AT_ONCE of them at a time.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -160,7 +161,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     w, s, t = names
     out = docs.withColumns({w: F.lit(0).cast("long"), s: F.array().cast("array<long>"), t: F.array().cast("array<string>")})
     schema = out.schema
-    for one in automata(benchmark, window):
+    for k, one in enumerate(automata(benchmark, window)):
+        if k and k % AT_ONCE == 0:
+            out = scratch(out, "marked")
         shared = spark.sparkContext.broadcast(one)
 
         def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

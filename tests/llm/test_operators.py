@@ -298,6 +298,7 @@ def test_several_automata_are_one(spark, tables, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {r.doc_id: (decontamination.pairs(r._spans), r._items) for r in decontamination.find_passages(docs, benchmark).collect()}
     monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 40)
+    monkeypatch.setattr(decontamination, "AT_ONCE", 2)
     assert one == {r.doc_id: (decontamination.pairs(r._spans), r._items) for r in decontamination.find_passages(docs, benchmark).collect()}
 
 
