@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpoints
+
 
 def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id, occurrences) with degree (outgoing, and incoming of bidirectional edges) and .7 of it over the largest plus .3 of occurrences over 100."""
@@ -16,12 +18,11 @@ def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, community): the smallest id reachable over edges either way, by alternating stars; each round is checkpointed."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    """(id, community): the smallest id reachable over edges either way, by alternating stars; each round is checkpointed.
+
+    Raises RuntimeError if so many rounds don't settle it (each halves the paths at least).
+    """
+    checkpoints(edges.sparkSession)
     now = edges.select(F.least("src", "tgt").alias("lo"), F.greatest("src", "tgt").alias("hi")).filter("lo < hi").distinct().checkpoint()
     before = None
     for _ in range(rounds):
@@ -35,6 +36,8 @@ def communities(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError("the communities did not settle")
     return now.select(F.col("lo").alias("id"), F.col("lo").alias("community")).distinct().union(now.select(F.col("hi").alias("id"), F.col("lo").alias("community")))
 
 

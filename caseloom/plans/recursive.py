@@ -50,6 +50,6 @@ s as (select user_id, event_id, k, 0::double as delay from o where k = 1 union a
 select user_id, event_id, round(delay, 6) as delay_ms from s"""
 
 PAIRS = f"""with {LOG}, a as (select user_id, event_type, ts, event_id from log where event_type in ('signup', 'purchase')), p as (select *, lag(event_type) over w as before, lag(ts) over w as since from a window w as (partition by user_id order by ts))
-select user_id as id, count(*) as n, round(avg(epoch_ms(ts) - epoch_ms(since)), 3) as mean_ms from p where event_type = 'purchase' and before = 'signup' group by 1"""
+select user_id as id, count(*) as n, round(avg(epoch_us(ts) // 1000 - epoch_us(since) // 1000), 3) as mean_ms from p where event_type = 'purchase' and before = 'signup' group by 1"""
 
 SQL = {"chunk_fixed": FIXED, "chunk_paragraphs": PARAGRAPHS, "chunk_bins": BINS, "entity_groups": GROUPS, "fusion_cascade": CASCADE, "limit_circuit": CIRCUIT, "limit_delays": DELAYS, "stream_pairs": PAIRS}

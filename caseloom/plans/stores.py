@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
+from ..sources import patterns as P
 from ..sources import stores as S
 from ..streaming import operations as O
 from .chunks import WINDOWS, windows
@@ -32,6 +34,88 @@ def store_upsert(spark, d):
     return S.upserted(c, new, ["id"], "version").withColumn("value", F.round("value", 4))
 
 
+_DOC = rf"""{WINDOWS}, {MENTIONS}, e as (select distinct doc_id, entity_type, lower(trim(text)) as key from m), c as (select doc_id, count(*) as chunks, sum(length(content))::bigint as chars from w group by 1), n as (select doc_id, count(*) as entities from e group by 1)"""
+
+
+@query(f"with {_DOC} select doc_id as document_id, chunks, chars, coalesce(entities, 0) as entities from c left join n using (doc_id) where doc_id % 7 <> 0")
+def store_read_back(spark, d):
+    """Chunks and entities written, some documents deleted from both stores, and what is left read back."""
+    path = fresh_path(spark, "store")
+    S.store_document(windows(spark, d).withColumnRenamed("doc_id", "document_id"), found(spark, d).withColumnRenamed("doc_id", "document_id"), path)
+    S.delete_documents(table(spark, d, "documents").filter("doc_id % 7 = 0").select("doc_id"), path)
+    chunks = S.visible(spark, f"{path}/chunks").groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+    entities = S.visible(spark, f"{path}/entities").groupBy("document_id").agg(F.count("*").alias("entities"))
+    return chunks.join(entities, "document_id", "left").select("document_id", "chunks", "chars", F.coalesce("entities", F.lit(0)).alias("entities"))
+
+
+@query(f"with {_DOC}, o as (select w.doc_id, chunk, md5(content) as content from w where doc_id = (select min(doc_id) from w)) select doc_id as document_id, chunk as chunk_index, content, (select coalesce(max(entities), 0) from n where doc_id = (select min(doc_id) from w)) as entities from o")
+def store_document_chunks(spark, d):
+    """One document's chunks in order, and how many entities it has, from their buckets alone."""
+    path = fresh_path(spark, "store")
+    S.store_document(windows(spark, d).withColumnRenamed("doc_id", "document_id"), found(spark, d).withColumnRenamed("doc_id", "document_id"), path)
+    first = S.visible(spark, f"{path}/chunks").agg(F.min("document_id")).first()[0]
+    n = S.get_entities(spark, f"{path}/entities", first).count()
+    return S.get_chunks(spark, f"{path}/chunks", first).select("document_id", "chunk_index", F.md5("content").alias("content"), F.lit(n).cast("long").alias("entities"))
+
+
+_EXPORTED = f"with {MENTIONS} select entity_type, lower(trim(text)) as canonical, count(*) as occurrences, array_to_string(list_sort(list_distinct(list(text))), '|') as variants, round(max(confidence), 9) as confidence from m group by 1, 2"
+
+
+def _entities(spark, d):
+    return found(spark, d).groupBy("entity_type", F.lower(F.trim("text")).alias("canonical")).agg(F.count("*").alias("occurrences"), F.collect_set("text").alias("variants"), F.round(F.max("confidence"), 9).alias("confidence"))
+
+
+@query(_EXPORTED)
+def export_csv(spark, d):
+    """Entities exported as CSV, their variants joined by bars, and read back."""
+    path = fresh_path(spark, "export")
+    S.export(_entities(spark, d), path, "csv")
+    schema = "entity_type string, canonical string, occurrences long, variants string, confidence double"
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+@query(_EXPORTED)
+def export_json(spark, d):
+    """Entities exported as JSON and read back."""
+    path = fresh_path(spark, "export")
+    S.export(_entities(spark, d), path)
+    rows = spark.read.schema("entity_type string, canonical string, occurrences long, variants array<string>, confidence double").json(path)
+    return rows.withColumn("variants", F.array_join(F.array_sort("variants"), "|"))
+
+
+@query(_EXPORTED)
+def registry_snapshot(spark, d):
+    """A registry saved, and loaded again."""
+    path = fresh_path(spark, "snapshot")
+    S.save_snapshot(_entities(spark, d), path)
+    return S.load_snapshot(spark, path).withColumn("variants", F.array_join(F.array_sort("variants"), "|"))
+
+
+@query("with h as (select 'd' || user_id as document_id, event_id as timestamp, case when user_id % 2 = 0 then 'three_wave' else 'single_pass' end as strategy from events), k as (select *, row_number() over (order by timestamp desc) as k from h where strategy = 'three_wave') select document_id, timestamp, strategy from k where k <= 20")
+def history_latest(spark, d):
+    """The last twenty results of a strategy from a history kept as JSON lines."""
+    path = fresh_path(spark, "history")
+    e = table(spark, d, "events")
+    strategy = F.when(F.col("user_id") % 2 == 0, "three_wave").otherwise("single_pass")
+    S.export(e.select(F.concat(F.lit("d"), "user_id").alias("document_id"), F.col("event_id").alias("timestamp"), F.struct(strategy.alias("strategy")).alias("routing")), path)
+    return S.read_history(spark, path, strategy="three_wave", limit=20, lines=True).select("document_id", "timestamp", F.col("routing.strategy").alias("strategy"))
+
+
+_FILES = """f as (select p_brand as brand, p_type as kind, p_partkey as id, p_name as name, p_size as size from part)"""
+
+
+@query(f"with {_FILES} select 'name_' || id as name, upper(case when size % 3 = 0 then kind else 'items' end) as entity_type, round(case when size % 2 = 0 then 0.5::double + size / 200.0::double else 0.7::double end, 4) as confidence, '[a-z]+ ' || name as pattern, 'j' || brand as jurisdiction, case when size % 2 = 0 then 1 else 0 end::bigint as examples from f")
+def pattern_files(spark, d):
+    """Catalog files, one a part, with lists or nested sections, read with their metadata, defaults and examples."""
+    path = fresh_path(spark, "patterns")
+    p, lit = table(spark, d, "part"), F.lit
+    item = F.struct(F.concat(lit("name_"), "p_partkey").alias("name"), F.concat(lit("[a-z]+ "), "p_name").alias("pattern"), F.when(F.col("p_size") % 2 == 0, 0.5 + F.col("p_size") / 200.0).alias("confidence"), F.when(F.col("p_size") % 2 == 0, F.array("p_name")).alias("examples"), F.when(F.col("p_size") % 3 == 0, F.lower("p_type")).alias("entity_type"))
+    text = F.to_json(F.struct(F.struct(F.concat(lit("j"), "p_brand").alias("jurisdiction"), lit("unknown").alias("pattern_type")).alias("metadata"), F.struct(F.array(item).alias("patterns")).alias("items")))
+    p.select(text.alias("value"), F.col("p_partkey")).repartition(8, "p_partkey").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = P.load(spark, path, ending="txt")
+    return rows.select("name", "entity_type", F.round("confidence", 4).alias("confidence"), "pattern", "jurisdiction", F.size("examples").cast("long").alias("examples"))
+
+
 def _stream(spark, d):
     schema = table(spark, d, "events").schema
     e = O.read_events(spark, d, schema)

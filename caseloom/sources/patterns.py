@@ -23,7 +23,7 @@ RESERVED = {"metadata", "dependencies", "version", "description", "validation",
 def _loaded(path: str, raw: bytes) -> Any:
     """The content of a file; null if it can't be read as what its name says."""
     try:
-        if path.endswith(".json"):
+        if not path.endswith((".yaml", ".yml")):
             return json.loads(raw)
         return yaml.safe_load(raw) if yaml else None
     except Exception:  # one bad file doesn't spoil a catalog
@@ -50,18 +50,18 @@ def _found(content: Any, section: str = "") -> Iterator[tuple[str, str, dict]]:
                 yield from _found(value, key)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content and sha256 of the catalog files below a folder."""
+def read_files(spark: SparkSession, path: str, ending: str = "ya?ml|json") -> DataFrame:
+    """path, content and sha256 of the catalog files below a folder; those that aren't YAML by their name are JSON."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.filter(F.col("path").rlike(r"\.(ya?ml|json)$")).select("path", "content", F.sha2("content", 256).alias("hash"))
+    return files.filter(F.col("path").rlike(rf"\.({ending})$")).select("path", "content", F.sha2("content", 256).alias("hash"))
 
 
-def load(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+def load(spark: SparkSession, path: str, known: DataFrame | None = None, ending: str = "ya?ml|json") -> DataFrame:
     """The patterns of all files, one row each; files whose hash is known (a column, hash) are left out.
 
     A pattern without a confidence has .7; without a type that of its section. Files are parsed where they are read.
     """
-    files = read_files(spark, path)
+    files = read_files(spark, path, ending)
     if known is not None:
         files = files.join(known.select("hash"), "hash", "left_anti").select("path", "content", "hash")
 
@@ -111,3 +111,9 @@ def relation_categories(relations: DataFrame) -> DataFrame:
 
 def file_hash(content: bytes) -> str:
     return hashlib.sha256(content).hexdigest()
+
+
+def load_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, canonical) of a JSON file that maps raw types to canonical ones under entity_type_mappings."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "entity_type_mappings map<string,string>").alias("x"))
+    return raw.select(F.explode("x.entity_type_mappings").alias("alias", "canonical"))

@@ -144,11 +144,13 @@ def test_pattern_files(spark, tmp_path):
 
 def test_stores(spark, tmp_path):
     chunks = spark.createDataFrame([("d1", 0, "a b"), ("d1", 1, "c"), ("d2", 0, "e")], "document_id string, chunk int, content string")
-    path = str(tmp_path / "chunks")
+    path = str(tmp_path / "store" / "chunks")
     stores.store_chunks(chunks, path)
     assert [r.chunk_id for r in stores.get_chunks(spark, path, "d1").collect()] == ["d1_chunk_0", "d1_chunk_1"]
-    stores.delete_document(spark, path, "d1")
-    assert spark.read.parquet(path).count() == 1
+    stores.delete_documents(spark.createDataFrame([("d1",)], "id string"), str(tmp_path / "store"))
+    assert stores.get_chunks(spark, path, "d1").count() == 0 and stores.get_chunks(spark, path, "d2").count() == 1
+    stores.store_chunks(chunks, path, version=1)
+    assert stores.get_chunks(spark, path, "d1").count() == 2 and stores.visible(spark, path).count() == 4
     rows = spark.createDataFrame([(1, ["b", "a"])], "id int, variants array<string>")
     stores.export(rows, str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().variants == "a|b"
