@@ -23,9 +23,14 @@ _BASE = "case kind " + " ".join(f"when '{k}' then {v}::double" for k, v in S.CAN
 _SURE = f"least(1.0::double, {_BASE} * case when len(string_split_regex(trim(text), '\\s+')) = 1 then 0.9::double when len(string_split_regex(trim(text), '\\s+')) > 4 then 0.85::double else 1 end * case when regexp_matches(text, '[A-Z]') then 1 else 0.8::double end * case when lower(trim(text)) in ('the', 'this', 'that', 'and', 'court', 'section') then 0.5::double else 1 end)"
 
 
+#: SQL's word boundaries know ASCII letters alone: others stand there as a letter that no shape holds.
+_WORDLY = r"regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{3041}-\x{D7FF}\x{F900}-\x{FAFF}\x{10000}-\x{1FFFF}]', '_', 'g')"
+
+
 def _shape_sql(k: str, p: str) -> str:
     m = int(k in K.MARKED)
-    return f"select doc_id, '{k}' as kind, start + {m} as start, stop - {m} as stop, substr(text, {m} + 1, length(text) - {2 * m}) as text from ({spans_sql(p)})"
+    source = "documents" if m else f"(select doc_id, {_WORDLY} as text from documents)"
+    return f"select doc_id, '{k}' as kind, start + {m} as start, stop - {m} as stop, substr(text, {m} + 1, length(text) - {2 * m}) as text from ({spans_sql(p, source)})"
 
 
 CANDIDATES = "raw as (" + " union all ".join(_shape_sql(k, p) for k, p in K.SHAPES.items()) + f"), cand as (select *, {_SURE} as confidence from raw)"
@@ -143,7 +148,7 @@ def candidates_and_patterns(spark, d):
 
 
 def _all(p: str) -> str:
-    return f"regexp_extract_all(text, '{q(p)}')"
+    return f"regexp_extract_all({_WORDLY}, '{q(p)}')"
 
 
 _ENTITIES = f"list_sort(list_distinct(list_concat({_all(K.PERSON)}, {_all(K.SHAPES['organization'])}, {_all(K.COURT)})))[1:20]"

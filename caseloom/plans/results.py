@@ -86,13 +86,13 @@ def _active(spark, d):
     return found(spark, d).groupBy("doc_id", "entity_type", T.key(F.col("text")).alias("key")).agg(F.count("*").alias("occurrences"), F.max("confidence").alias("confidence"))
 
 
-@query(f"{_ACTIVE}, t as (select doc_id, entity_type, count(*) as n from a group by 1, 2), h as (select doc_id, string_agg(entity_type || '=' || n, ',' order by entity_type) as types from t group by 1) select doc_id, count(*) as entities, sum(occurrences)::bigint as occurrences, round(avg(confidence), 6) as mean, any_value(types) as types from a join h using (doc_id) group by 1")
+@query(f"{_ACTIVE}, t as (select doc_id, entity_type, count(*) as n from a group by 1, 2), h as (select doc_id, string_agg(entity_type || '=' || n, ',' order by entity_type) as types from t group by 1) select doc_id, count(*) as entities, sum(occurrences)::bigint as occurrences, round(avg(confidence), 9) as mean, any_value(types) as types from a join h using (doc_id) group by 1")
 def registry_statistics(spark, d):
     """Active entities of each document, their occurrences, mean confidence and types."""
     a = _active(spark, d)
     by_type = a.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"), F.sum("occurrences").alias("o"), F.sum("confidence").alias("c"))
     types = F.transform(F.sort_array(F.collect_list(F.struct("entity_type", "n"))), lambda x: F.concat_ws("=", x["entity_type"], x["n"]))
-    return by_type.groupBy("doc_id").agg(F.sum("n").alias("entities"), F.sum("o").alias("occurrences"), F.round(F.sum("c") / F.sum("n"), 6).alias("mean"), F.array_join(types, ",").alias("types"))
+    return by_type.groupBy("doc_id").agg(F.sum("n").alias("entities"), F.sum("o").alias("occurrences"), F.round(F.sum("c") / F.sum("n"), 9).alias("mean"), F.array_join(types, ",").alias("types"))
 
 
 @query(f"{_ACTIVE} select count(distinct doc_id) as documents, count(*) as entities, sum(occurrences)::bigint as occurrences, count(distinct (entity_type, key)) as across, round(count(*) / count(distinct doc_id), 6) as a_document from a")
@@ -102,11 +102,11 @@ def registry_global_statistics(spark, d):
     return a.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("entities"), F.sum("occurrences").alias("occurrences"), F.countDistinct("entity_type", "key").alias("across"), F.round(F.count("*") / F.countDistinct("doc_id"), 6).alias("a_document"))
 
 
-@query(f"with {MENTIONS} select doc_id, round(coalesce(avg(coalesce(confidence, 0.5)) filter (where m.rank is not null), 0), 6) as confidence, count(m.rank) as n from documents left join m using (doc_id) group by 1")
+@query(f"with {MENTIONS} select doc_id, round(coalesce(avg(coalesce(confidence, 0.5)) filter (where m.rank is not null), 0), 9) as confidence, count(m.rank) as n from documents left join m using (doc_id) group by 1")
 def result_confidence(spark, d):
     """The mean confidence of each document's mentions, .5 for those without; 0 for documents without mentions."""
     own = found(spark, d).groupBy("doc_id").agg(F.avg(F.coalesce("confidence", F.lit(0.5))).alias("c"), F.count("*").alias("n"))
-    return table(spark, d, "documents").select("doc_id").join(own, "doc_id", "left").select("doc_id", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("confidence"), F.coalesce("n", F.lit(0)).alias("n"))
+    return table(spark, d, "documents").select("doc_id").join(own, "doc_id", "left").select("doc_id", F.round(F.coalesce("c", F.lit(0.0)), 9).alias("confidence"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"with {MENTIONS}, p as (select doc_id, start // 1000 as chunk, count(*) as n, count(distinct (entity_type, lower(trim(text)))) as kept from m group by 1, 2), t as (select doc_id, (length(text) // 4)::int as tokens from documents) select doc_id, count(chunk) as chunks, coalesce(max(n), 0) as most, any_value(tokens) as tokens, round(case when coalesce(sum(n), 0) = 0 then 1.0 else sum(kept) / sum(n) end, 6)::double as kept_ratio from t left join p using (doc_id) group by 1")
