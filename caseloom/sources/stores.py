@@ -104,7 +104,7 @@ def export(rows: DataFrame, path: str, kind: str = "json") -> None:
         rows.write.mode("overwrite").json(path)
     elif kind == "csv":
         flat = [F.array_join(F.array_sort(c), "|").alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes]
-        rows.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+        rows.select(*flat).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         raise ValueError(f"json or csv, not {kind}")
 
