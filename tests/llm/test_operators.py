@@ -263,13 +263,13 @@ def test_random_rules_find_what_finditer_finds(spark):
         return "(?i:" + part(deep + 1) + ")"
 
     patterns = []
-    while len(patterns) < 120:
+    while len(patterns) < 100:
         p = "".join(part() for _ in range(r.randint(1, 4)))
         if not re.match(p + r"\Z", ""):
             patterns.append(p)
     texts = ["".join(r.choice("abcXYxy12 ABC") for _ in range(r.randint(0, 300))) for _ in range(12)] + ["abc12" * 300]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    for some in (patterns[:60], *(patterns[k : k + 20] for k in (60, 80, 100))):
+    for some in (patterns[:60], patterns[60:80], patterns[80:]):
         got = {x.doc_id: [(s.rank, s.start, s.stop) for s in x.spans] for x in secrets.find_secrets(docs, tuple(secrets.Rule(f"k{n % 7}", p) for n, p in enumerate(some))).collect()}
         for i, t in enumerate(texts):
             want = sorted(((m.start(), n, m.end()) for n, p in enumerate(some) for m in re.finditer(p, t)), key=lambda x: x[:2])
@@ -441,9 +441,9 @@ def test_very_long_texts(spark):
     """Batches are bounded by bytes: texts of 20 MB, of which 256 would not fit a batch of 32-bit offsets."""
     from pyspark.sql import functions as F
 
-    docs = spark.range(6).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words here, "), 1_200_000).alias("text")).coalesce(1)
-    assert decontamination.find_passages(docs, spark.createDataFrame([(1, "here some words")], "item_id long, text string")).agg(F.min("_words"), F.sum(F.size("_spans"))).first() == (3_600_000, 12)
-    assert [r.kept for r in exact_dedup.exact_groups(docs).orderBy("doc_id").collect()] == [True] + [False] * 5
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words here, "), 1_200_000).alias("text")).coalesce(1)
+    assert decontamination.find_passages(docs, spark.createDataFrame([(1, "here some words")], "item_id long, text string")).agg(F.min("_words"), F.sum(F.size("_spans"))).first() == (3_600_000, 6)
+    assert [r.kept for r in exact_dedup.exact_groups(docs).orderBy("doc_id").collect()] == [True] + [False] * 2
 
 
 # --- 8 ---
