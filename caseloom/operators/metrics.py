@@ -136,9 +136,11 @@ def smoothed(rows: DataFrame, by: str, order: list[str], value: str, alpha: floa
     """Exponentially smoothed value of each group after its last row in order: the first counts whole, each later one alpha.
 
     The weight of a row depends on how many follow it. Rows are ranked within parts of the order (by default hours of the
-    first column of it), and the counts of parts tell how many follow each part: no group is sorted in one task.
+    first column of it, or steps of 10,000 of a number), and the counts of parts tell how many follow each part: no group is sorted in one task.
     """
-    rows = rows.withColumn("_p", F.date_trunc("hour", order[0]) if part is None else part)
+    if part is None:
+        part = F.date_trunc("hour", order[0]) if dict(rows.dtypes)[order[0]].startswith("timestamp") else F.floor(F.col(order[0]) / 10_000)
+    rows = rows.withColumn("_p", part)
     parts = rows.groupBy(by, "_p").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(by)
     parts = parts.withColumns({"_before": F.sum("_c").over(w.orderBy("_p")) - F.col("_c"), "_n": F.sum("_c").over(w)})
