@@ -115,6 +115,12 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when((F.count("*") < 2) | (F.stddev_pop(x) == 0) | (F.stddev_pop(y) == 0), 0.0).otherwise(F.corr(x, y))
 
 
+def quotient(x: Column, y: Column) -> Column:
+    """x / y as doubles divide: by zero infinite, or not a number for zero by zero."""
+    x, y = x.cast("double"), y.cast("double")
+    return F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(x / y)
+
+
 def bottlenecks(rows: DataFrame, value: str) -> DataFrame:
     """Rows over the mean by more than one sample deviation, with by how much."""
     one = rows.agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))

@@ -99,7 +99,7 @@ def ops_bottlenecks(spark, d):
 def ops_comparison(spark, d):
     ok = F.avg(F.when(F.col("success"), F.col("ms")))
     bad = F.avg(F.when(~F.col("success"), F.col("ms")))
-    return log(spark, d).groupBy("mode").agg(F.round(ok, 6).alias("ok_ms"), F.round(bad, 6).alias("failed_ms"), F.round(ok / bad, 6).alias("ratio"), F.round(F.avg(F.col("tokens") / F.col("ms")), 6).alias("tokens_per_ms"))
+    return log(spark, d).groupBy("mode").agg(F.round(ok, 6).alias("ok_ms"), F.round(bad, 6).alias("failed_ms"), F.round(M.quotient(ok, bad), 6).alias("ratio"), F.round(F.avg(M.quotient(F.col("tokens"), F.col("ms"))), 6).alias("tokens_per_ms"))
 
 
 @query(f"with {LOG}, r as (select *, row_number() over (partition by mode order by ts, event_id) as k, count(*) over (partition by mode) as n from log) select mode, max(n) as n, round(sum(ms * case when k = 1 then 1 else 0.1::double end * pow(0.9::double, n - k)), 6) as smoothed from r group by 1")
