@@ -23,3 +23,10 @@ def test_operations_of_no_time(spark, tmp_path):
     events = [(1, 0, 0, "view", 0, 5), (2, 1, 0, "error", 0, 3), (3, 2, 1, "view", 0, 0), (4, 3, 1, "error", 2, 1), (5, 4, 2, "view", 4, 8), (6, 5, 2, "error", 2, 1), (7, 6, 3, "view", 3, 1)]
     got, want = both(spark, tmp_path, "ops_comparison", events=EVENTS.format(", ".join(f"({a}, {b}, {c}, '{e}', {v}, '{{\"k\": {k}}}')" for a, b, c, e, v, k in events)))
     assert len(got) == 4 and got == want
+
+
+def test_normal_forms_beyond_ascii(spark, tmp_path):
+    texts = ["the éco rr", "the ecoé", "the co é", "the diſtrict x", "the v.\x0bx", "the v. é", "the v. ſ", "a''sé b", "İstanbul ΑΣ inc.", " the big　", "of éU.S.é", "the  big  ", "", " "]
+    values = ", ".join(f"({n}, '{t}')" for n, t in enumerate(texts))
+    got, want = both(spark, tmp_path, "text_normal", documents=f"select doc_id::bigint as doc_id, text from (values {values}) as t(doc_id, text)")
+    assert len(got) == len(texts) and got == want
