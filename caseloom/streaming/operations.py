@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_events(spark: SparkSession, sf_dir: str, schema) -> DataFrame:
-    """The events table as a stream of files, with its time as an event time."""
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4)
-    return files.parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+def read_events(spark: SparkSession, sf_dir: str, schema, files: int | None = 4) -> DataFrame:
+    """The events table as a stream of files, so many a batch (None: all that are there), with its time as an event time."""
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files:
+        stream = stream.option("maxFilesPerTrigger", files)
+    return stream.parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(log: DataFrame, by: str, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -40,14 +43,15 @@ def _pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         state.remove()
         return
     out = []
-    for rows in frames:
-        for r in rows.sort_values("ts").itertuples(index=False):
-            at = r.ts.value // 1_000_000
-            if r.kind == "start":
-                started = at
-            elif started is not None and at >= started:
-                out.append((key[0], pd.Timestamp(started, unit="ms"), r.ts, float(at - started)))
-                started = None
+    rows = pd.concat(list(frames), ignore_index=True)  # a key's rows of a batch come in several frames, in no order
+    rows = rows.iloc[np.lexsort((rows["kind"].to_numpy() != "start", rows["ts"].to_numpy()))]  # at one time, starts first
+    for ts, kind in zip(rows["ts"], rows["kind"], strict=True):
+        at = ts.value // 1_000_000
+        if kind == "start":
+            started = at
+        elif started is not None and at >= started:
+            out.append((key[0], pd.Timestamp(started, unit="ms"), ts, float(at - started)))
+            started = None
     if started is None:
         if state.exists:
             state.remove()

@@ -30,3 +30,23 @@ def test_normal_forms_beyond_ascii(spark, tmp_path):
     values = ", ".join(f"({n}, '{t}')" for n, t in enumerate(texts))
     got, want = both(spark, tmp_path, "text_normal", documents=f"select doc_id::bigint as doc_id, text from (values {values}) as t(doc_id, text)")
     assert len(got) == len(texts) and got == want
+
+
+def many_events(users, copies, n):
+    """So many copies of n events a user, no two copies side by side."""
+    return f"select (c * {users * n} + u * {n} + e)::bigint as event_id, timestamp '2024-01-01' + interval (e * 3000 + u) second as ts, u::bigint as user_id, ['signup', 'view', 'purchase', 'error'][(e * 7 + u) % 4 + 1] as event_type, e::double as value, '{{\"k\": 1}}' as props from range({users}) a(u), range({copies}) b(c), range({n}) d(e) order by hash(event_id)"
+
+
+def test_pairs_of_more_rows_than_a_frame(spark, tmp_path):
+    got, want = both(spark, tmp_path, "stream_pairs", events=many_events(5, 600, 20))
+    assert len(got) == 5 and got == want
+
+
+def test_pairs_over_files_in_no_order_of_time(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"create table events as {many_events(5, 1, 200)}")
+    (tmp_path / "events.parquet").mkdir()
+    for n in range(8):  # the latest first
+        con.sql(f"copy (from events where value::int // 25 = {7 - n}) to '{tmp_path}/events.parquet/part-{n}.parquet'")
+    got = rows(catalogue.queries()["stream_pairs"](spark, str(tmp_path)).toPandas())
+    assert got == rows(con.sql(catalogue.oracle_sql()["stream_pairs"]).df())
