@@ -106,6 +106,23 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """All that is there now, as Parquet files: the driver gathers no rows. In mode complete the last batch holds all.
+
+    Files and the state lie below a path that driver and executors share.
+    """
+    written = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{batch}")
+        if batch not in written:
+            written.append(batch)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    spark, kept = stream.sparkSession, written[-1:] if mode == "complete" else written
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/{batch}" for batch in kept]) if kept else spark.createDataFrame([], stream.schema)
+
+
 def to_files(stream: DataFrame, path: str, checkpoint: str):
     """Appends a stream to Parquet files, exactly once."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -50,3 +50,12 @@ def test_pairs_over_files_in_no_order_of_time(spark, tmp_path):
         con.sql(f"copy (from events where value::int // 25 = {7 - n}) to '{tmp_path}/events.parquet/part-{n}.parquet'")
     got = rows(catalogue.queries()["stream_pairs"](spark, str(tmp_path)).toPandas())
     assert got == rows(con.sql(catalogue.oracle_sql()["stream_pairs"]).df())
+
+
+def test_sessions_stay_in_files(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"copy ({many_events(7, 3, 60)}) to '{tmp_path}/events.parquet'")
+    got = catalogue.queries()["stream_sessions"](spark, str(tmp_path))
+    assert got.inputFiles()  # the driver holds none of them
+    con.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    assert rows(got.toPandas()) == rows(con.sql(catalogue.oracle_sql()["stream_sessions"]).df())
