@@ -86,9 +86,9 @@ def entity_rows(found: DataFrame) -> DataFrame:
     return first.withColumn("entity_id", entity_id(F.col("entity_type"), F.col("text")))
 
 
-def upserted(old: DataFrame, new: DataFrame, ids: list[str], version: str) -> DataFrame:
-    """The row of the latest version of each id, from both."""
-    w = Window.partitionBy(*ids).orderBy(F.desc(version))
+def upserted(old: DataFrame, new: DataFrame, ids: list[str], version: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The row of the latest version of each id, from both; of equal versions that with the largest ties, in order."""
+    w = Window.partitionBy(*ids).orderBy(*[F.desc(c) for c in (version, *ties)])
     return old.unionByName(new).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 

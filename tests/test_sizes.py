@@ -68,3 +68,10 @@ def test_pattern_files_hold_many_parts(spark, tmp_path):
     assert len(got.inputFiles()) == 4
     con.sql(f"create view part as select * from read_parquet('{tmp_path}/part.parquet')")
     assert rows(got.toPandas()) == rows(con.sql(catalogue.oracle_sql()["pattern_files"]).df())
+
+
+def test_the_last_written_of_equal_versions_stays(spark, tmp_path):
+    duckdb.connect().sql(f"copy (select n::bigint as c_custkey, n::double as c_acctbal from range(0, 100200) t(n)) to '{tmp_path}/customer.parquet'")
+    got = {r.id: (r.version, r.value) for r in catalogue.queries()["store_upsert"](spark, str(tmp_path)).filter("id >= 100000 and id < 100200").collect()}
+    want = {k: (2, k - 100000.0) if k % 5 == 0 else (2, k + 1.0) if k % 3 == 0 else (1, float(k)) for k in range(100000, 100200)}
+    assert got == want
